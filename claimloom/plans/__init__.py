@@ -2,5 +2,5 @@
 
 
 def catalogs() -> list:
-    from claimloom.plans import catalog_claims
-    return [catalog_claims.catalog]
+    from claimloom.plans import catalog_claims, catalog_review, catalog_serving
+    return [catalog_claims.catalog, catalog_review.catalog, catalog_serving.catalog]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from claimloom.sources import derived
 
 CLAIMS = derived.duckdb_view(derived.order_claims_sql, "orders")
+CHUNKS = derived.duckdb_view(derived.order_chunks_sql, "orders")
 PERIODS = derived.duckdb_view(derived.period_texts_sql, "orders")
 ITEMS = derived.duckdb_view(derived.report_items_sql, "lineitem")
 STATUS = derived.duckdb_view(derived.status_changes_sql, "events")
@@ -220,3 +221,46 @@ verdicts as (select document_id, claim_a_id, claim_b_id, score, split_part(verdi
        when 'UNRELATED' then 'dismissed' when 'INSUFFICIENT_CONTEXT' then 'needs_review' else 'contextual_difference' end as status,
   'rules' as source, a.entity_n as entity_a, b.entity_n as entity_b, a.metric_n as metric_a, b.metric_n as metric_b,
   a.value_text as value_a, b.value_text as value_b from scored)"""
+
+LINKS = f"""{LABELLED},
+ordered as (select document_id, claim_id, cast(substr(claim_id, 2) as bigint) as k,
+  lead(claim_id) over (partition by document_id, entity_n order by claim_id) as next_id from sides),
+links as (select document_id, claim_id, next_id as neighbour_id, 0.5::double + cast(k % 50 as double) / 100.0::double as similarity from ordered where next_id is not null
+  union all select document_id, next_id, claim_id, 0.4::double + cast(k % 60 as double) / 100.0::double from ordered where next_id is not null),
+semantic as (select document_id, least(claim_id, neighbour_id) as claim_a_id, greatest(claim_id, neighbour_id) as claim_b_id,
+  greatest(0.0::double, max(similarity)) as similarity from links group by 1, 2, 3),
+merged as (select coalesce(s.document_id, m.document_id) as document_id, coalesce(s.claim_a_id, m.claim_a_id) as claim_a_id,
+  coalesce(s.claim_b_id, m.claim_b_id) as claim_b_id, coalesce(preliminary_classification, 'possible_value_difference') as preliminary_classification,
+  coalesce(m.similarity, 0.0::double) as similarity, s.document_id is not null as is_structured, m.document_id is not null as is_semantic
+  from classed s full join semantic m on s.document_id = m.document_id and s.claim_a_id = m.claim_a_id and s.claim_b_id = m.claim_b_id),
+all_pairs as (select m.*, a, b, {PERIOD_REL} as period_relation from merged m
+  join sides a on a.document_id = m.document_id and a.claim_id = m.claim_a_id
+  join sides b on b.document_id = m.document_id and b.claim_id = m.claim_b_id),
+all_scored as (select *, {SCORE} as score, split_part({VERDICT}, '|', 1) as classification from all_pairs),
+queue as (select * from (select document_id, claim_a_id, claim_b_id, claim_a_id || '/' || claim_b_id as candidate_id, score,
+  row_number() over (partition by document_id order by score desc, claim_a_id, claim_b_id) as queue_rank
+  from all_scored where classification = 'UNCERTAIN' and score >= 0.65) where queue_rank <= 10)"""
+
+EVIDENCE = f"""{LINKS}, chunks as ({CHUNKS}),
+rec as (select s.document_id, s.claim_id, c.text, c.section, s.claim_text, s.source_page, c.page_start, c.page_end,
+  case when c.text is null or trim(c.text) = '' then 'An original source chunk is missing or empty; the pair cannot be verified.'
+       when not (s.source_page between c.page_start and c.page_end and contains(c.text, s.claim_text))
+         then 'A claim quote or page is not grounded in its original source chunk.' end as problem
+  from sides s left join chunks c on c.document_id = s.document_id and c.chunk_id = 'k' || substr(s.claim_id, 2)),
+evidence as (select q.*, a.claim_text as claim_a_text, b.claim_text as claim_b_text, a.text as chunk_a, b.text as chunk_b,
+  a.section as section_a, b.section as section_b, coalesce(b.problem, a.problem) as insufficient_reason
+  from queue q join rec a on a.document_id = q.document_id and a.claim_id = q.claim_a_id
+  join rec b on b.document_id = q.document_id and b.claim_id = q.claim_b_id)"""
+
+ANSWERS = """
+answers as (
+  select document_id, candidate_id, case when queue_rank = 1 then 'CONTRADICTION' when queue_rank <= 4 then 'CONSISTENT' else 'UNCERTAIN' end as classification,
+    'checked ' || candidate_id as explanation, case when queue_rank = 3 then 1.5 else 0.7 end::double as confidence from queue where queue_rank <= 8
+  union all select document_id, candidate_id, 'CONSISTENT', 'again', 0.5::double from queue where queue_rank = 2
+  union all select document_id, candidate_id || 'x', 'CONSISTENT', 'unknown id', 0.5::double from queue),
+intake as (select q.document_id, q.claim_a_id, q.claim_b_id, q.candidate_id, a.classification, a.explanation, a.confidence,
+  case when a.candidate_id is null then 'VERIFICATION_FAILED' else 'VERIFIED' end as intake
+  from queue q left join (select document_id, candidate_id, any_value(classification) as classification, any_value(explanation) as explanation,
+    any_value(confidence) as confidence from answers group by 1, 2
+    having count(*) = 1 and bool_and(confidence between 0 and 1)) a
+  on a.document_id = q.document_id and a.candidate_id = q.candidate_id)"""

@@ -71,6 +71,19 @@ select o_orderkey,
 from {table}) as raw_claims"""
 
 
+def order_chunks_sql(d: Sql, table: str) -> str:
+    """One source chunk per order claim; some blank, some lost (other id), some on other pages or rephrased."""
+    key = f"lpad(cast(o_orderkey as {d.str}), 10, '0')"
+    return f"""
+select document_id, case when k % 17 = 3 then 'x' else 'k' end || substr(claim_id, 2, 10) as chunk_id,
+       case when k % 19 = 4 then source_page + 1 else source_page end as page_start,
+       cast(source_page + 2 as int) as page_end, 'Section ' || cast(k % 5 as {d.str}) as section,
+       case when k % 13 = 2 then '   ' when k % 23 = 5 then 'Rephrased: ' || upper(claim_text)
+            else 'Note ' || cast(k as {d.str}) || '. ' || claim_text || '. End.' end as text,
+       case k % 5 when 0 then 'PENDING' when 1 then 'FAILED' else 'COMPLETED' end as extraction_status
+from (select c.*, cast(substr(claim_id, 2, 10) as bigint) as k from ({order_claims_sql(d, table)}) as c) as keyed"""
+
+
 def period_texts_sql(d: Sql, table: str) -> str:
     """Every order date spelled in one of twelve ways, some of them invalid."""
     y = f"substr({d.iso('o_orderdate')}, 1, 4)"
@@ -189,6 +202,10 @@ def order_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, order_claims_sql, "orders")
 
 
+def order_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, order_chunks_sql, "orders")
+
+
 def period_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, period_texts_sql, "orders")
 

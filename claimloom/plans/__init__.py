@@ -2,5 +2,6 @@
 
 
 def catalogs() -> list:
-    from claimloom.plans import catalog_claims, catalog_review, catalog_serving
-    return [catalog_claims.catalog, catalog_review.catalog, catalog_serving.catalog]
+    from claimloom.plans import catalog_claims, catalog_documents, catalog_review, catalog_serving, catalog_vectors
+    return [catalog_claims.catalog, catalog_review.catalog, catalog_serving.catalog, catalog_vectors.catalog,
+            catalog_documents.catalog]

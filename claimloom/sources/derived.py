@@ -120,7 +120,7 @@ def report_items_sql(d: Sql, table: str) -> str:
             f"' Headcount was ' || cast(cast(l_quantity as bigint) as {s}) || ' employees on {{0}}.'")
     return f"""
 select 'r' || lpad(cast({d.idiv('l_orderkey', '100')} as {s}), 8, '0') as document_id,
-       cast((l_orderkey % 100) * 8 + l_linenumber as int) as pos,
+       ((l_orderkey % 100) * 8 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey as pos,
        cast(l_orderkey % 100 + 1 as int) as page_number,
        '#/items/' || {key} || '/' || cast(l_linenumber as {s}) as self_ref,
        case when l_linenumber = 1 and l_orderkey % 11 = 0 then 'page_header'

@@ -127,7 +127,7 @@ def scope_of(sentence: Column) -> Column:
 
 def kept_values(dates: Column, numbers: Column, has_metric: Column, is_table: Column) -> Column:
     """Dates, and numbers that are neither part of a date nor a bare year beside a metric or in a table."""
-    bare_year = F.lit(rf"^{YEAR}$")
+    bare_year = rf"^{YEAR}$"
     free = F.filter(numbers, lambda n: ~F.exists(dates, lambda d: (d["start"] <= n["start"]) & (
         n["start"] < d["start"] + F.length(d["text"]))) & ~(strip(n["text"]).rlike(bare_year) & (has_metric | is_table)))
 

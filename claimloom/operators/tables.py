@@ -100,6 +100,9 @@ class AppendTable:
     def write(self, df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
 
+    def read_batch(self, batch_id: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/batch_id={batch_id}")
+
     def read(self, before: int | None = None) -> DataFrame:
         jvm = self.spark._jvm
         root = jvm.org.apache.hadoop.fs.Path(self.path)

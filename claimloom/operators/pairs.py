@@ -7,7 +7,7 @@ instead of the claim text.  Claims that agree are excluded inside the join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import WS, label, squeeze, strip
@@ -268,7 +268,11 @@ def pairs_of(side_rows: DataFrame, *, tile_rows: int = TILE_ROWS, hot: DataFrame
 
 def candidate_pairs_between(new_claims: DataFrame, stored_claims: DataFrame, *, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Pairs that join a new claim with a stored one (ids put in order)."""
-    new, stored = sides(new_claims), sides(stored_claims)
+    return pairs_across(sides(new_claims), sides(stored_claims), tile_rows=tile_rows)
+
+
+def pairs_across(new: DataFrame, stored: DataFrame, *, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """:func:`candidate_pairs_between` over stored rows of :func:`sides`."""
     hot = hot_blocks(new.unionByName(stored), tile_rows)
     crossed = _joined_any(_tiled(new, hot), _tiled(stored, hot))
     ordered = A["claim_id"] < B["claim_id"]
@@ -356,3 +360,19 @@ def above_threshold(scored_pairs: DataFrame, threshold: float = SCORE_THRESHOLD)
     if not 0 <= threshold <= 1:
         raise ValueError("threshold must lie in [0, 1]")
     return scored_pairs.where(F.col("score") >= F.lit(threshold))
+
+
+def ranked(scored_pairs: DataFrame, prefix: int = 4) -> DataFrame:
+    """Add ``position``: best score first, then ids, per document.
+
+    A document may hold very many pairs, so positions are counted in two steps: inside
+    (document, score, leading characters of the first id), and by the sizes of the groups before.
+    """
+    group = ["document_id", "score", "id_prefix"]
+    rows = scored_pairs.withColumn("id_prefix", F.substring("claim_a_id", 1, prefix))
+    inside = Window.partitionBy(*group).orderBy("claim_a_id", "claim_b_id")
+    before = Window.partitionBy("document_id").orderBy(F.desc("score"), "id_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+               .withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"))
+    placed = rows.withColumn("place", F.row_number().over(inside)).join(offsets, group)
+    return placed.withColumn("position", F.col("place") + F.col("earlier")).drop("place", "earlier", "id_prefix")

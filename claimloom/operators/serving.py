@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions.units import literal_map
@@ -68,7 +68,7 @@ def claim_page(claims: DataFrame, offset: int = 0, limit: int = 50, document_id:
     rows = claims if document_id is None else claims.where(F.col("document_id") == document_id)
     total = rows.agg(F.count(F.lit(1)).alias("total"))
     page = rows.orderBy("document_id", "source_page", "claim_id").offset(offset).limit(limit)
-    return page.join(F.broadcast(total))  # the total is one row by construction
+    return page.withColumn("total", total.scalar())
 
 
 def per_document_count(df: DataFrame, name: str, condition: Column | None = None) -> DataFrame:
@@ -199,6 +199,3 @@ def advice_without_errors() -> str:
 def latest_status(changes: DataFrame) -> DataFrame:
     return changes.groupBy("document_id").agg(F.max_by("status", "seq").alias("status"), F.max("seq").alias("seq"))
 
-
-def first_rows(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
-    return df.withColumn("row_no", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("row_no") <= n)

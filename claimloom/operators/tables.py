@@ -6,7 +6,7 @@ is written, so a repeated or interrupted job leaves either the old or the new sn
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -47,8 +47,9 @@ def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def row_numbers(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    return df.withColumn("row_no", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+def ordered_read(df: DataFrame, order: list[str]) -> DataFrame:
+    """Document by document in ``order``: a range-partitioned sort, so a large document spreads over tasks."""
+    return df.orderBy("document_id", *order)
 
 
 class Snapshot:
@@ -62,8 +63,8 @@ class Snapshot:
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         return jvm, root.getFileSystem(self.spark._jsc.hadoopConfiguration()), root
 
-    def version(self) -> int:
-        """Newest version whose write finished (Spark leaves _SUCCESS last)."""
+    def version(self, before: int | None = None) -> int:
+        """Newest version (below ``before``) whose write finished; Spark leaves _SUCCESS last."""
         jvm, fs, root = self._fs()
         if not fs.exists(root):
             return -1
@@ -73,10 +74,10 @@ class Snapshot:
             if name.startswith("v") and name[1:].isdigit() and fs.exists(
                     jvm.org.apache.hadoop.fs.Path(item.getPath(), "_SUCCESS")):
                 found.append(int(name[1:]))
-        return max(found)
+        return max(v for v in found if before is None or v < before)
 
-    def read(self) -> DataFrame:
-        version = self.version()
+    def read(self, before: int | None = None) -> DataFrame:
+        version = self.version(before)
         if version < 0:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{version}")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from claimloom.functions import periods, text
@@ -124,9 +123,10 @@ f as (select claim_id, case when length(fiscal_digits) = 4 then cast(fiscal_digi
 select claim_id, 'FY' || cast(y as varchar) as canonical, cast(y as bigint) as fiscal_year,
   cast(make_date(y - 1, 4, 1) as varchar) as start_date, cast(make_date(y, 3, 31) as varchar) as end_date from f""")
 def period_policy(spark, sf):
+    fiscal = derived.period_texts(spark, sf).where(F.lower("period").startswith("f"))
     policy = periods.PeriodPolicy(two_digit_century=2000, fiscal_year_end_month=3, fiscal_year_end_day=31, resolve_fiscal_dates=True)
-    return (periods.with_period(derived.period_texts(spark, sf), "period", "p", policy)
-            .where("p.kind = 'fiscal_year'").select("claim_id", "p.canonical", "p.fiscal_year", "p.start_date", "p.end_date"))
+    return periods.with_period(fiscal, "period", "p", policy).select(
+        "claim_id", "p.canonical", "p.fiscal_year", "p.start_date", "p.end_date")
 
 
 @add("nrm_09_normalized_claims", f"""with {sql.NORM} select document_id, chunk_id, claim_id, entity_raw, entity_n, metric_raw, metric_n,
@@ -299,8 +299,7 @@ def scores(spark, sf):
   row_number() over (partition by document_id order by score desc, claim_a_id, claim_b_id) as position from verdicts where score >= 0.65""")
 def ranked(spark, sf):
     df = pairs.above_threshold(pairs.scored(candidates(spark, sf)))
-    order = Window.partitionBy("document_id").orderBy(F.desc("score"), "claim_a_id", "claim_b_id")
-    return df.select(*pairs.pair_ids(df), "score").withColumn("position", F.row_number().over(order))
+    return pairs.ranked(df.select(*pairs.pair_ids(df), "score"), prefix=9)
 
 
 @add("pai_17_threshold_counts", f"""with {sql.JUDGED} select document_id, count(*) filter (score >= 0.65) as kept,

@@ -222,19 +222,17 @@ def error_advice(spark, sf):
 
 # --- sources on stored tables -------------------------------------------------------------
 
-@add("src_11_chunks_in_order", f"""with c as ({sql.CHUNKS}) select document_id, chunk_id,
-  row_number() over (partition by document_id order by page_start, page_end, chunk_id) as position from c""")
+@add("src_11_chunks_in_order", f"""with c as ({sql.CHUNKS}) select document_id, chunk_id, page_start::bigint as page_start, page_end::bigint as page_end from c
+order by document_id, page_start, page_end, chunk_id""")
 def chunks_in_order(spark, sf):
-    """Chunks by page; the position is what an ordered read of one document yields."""
-    return tables.row_numbers(derived.order_chunks(spark, sf), ["document_id"], ["page_start", "page_end", "chunk_id"]).select(
-        "document_id", "chunk_id", F.col("row_no").alias("position"))
+    return tables.ordered_read(derived.order_chunks(spark, sf), ["page_start", "page_end", "chunk_id"]).select(
+        "document_id", "chunk_id", "page_start", "page_end")
 
 
-@add("src_12_claims_in_order", f"""with {sql.SIDES} select document_id, claim_id,
-  row_number() over (partition by document_id order by source_page, claim_id) as position from sides""")
+@add("src_12_claims_in_order", f"""with {sql.SIDES} select document_id, claim_id, source_page::bigint as source_page from sides
+order by document_id, source_page, claim_id""")
 def claims_in_order(spark, sf):
-    return tables.row_numbers(claims_n(spark, sf), ["document_id"], ["source_page", "claim_id"]).select(
-        "document_id", "claim_id", F.col("row_no").alias("position"))
+    return tables.ordered_read(claims_n(spark, sf), ["source_page", "claim_id"]).select("document_id", "claim_id", "source_page")
 
 
 @add("src_13_document_by_id", f"""with r as ({sql.REGISTRY}) select document_id, filename, status from r where document_id = 'u00000042'""")

@@ -111,10 +111,23 @@ def sides(claims_n: DataFrame) -> DataFrame:
 
 # --- pair rules: columns over the structs ``a`` and ``b`` -------------------------
 
-A, B = F.col("a"), F.col("b")
+class Side:
+    """One side of a pair row: ``side[field]`` is that field of the struct column (no session needed to create it)."""
 
+    def __init__(self, name: str):
+        self.name = name
 
-def period_relation(a: Column = A, b: Column = B) -> Column:
+    def __getitem__(self, field: str) -> Column:
+        return F.col(f"{self.name}.{field}")
+
+    def column(self) -> Column:
+        return F.col(self.name)
+
+
+A, B = Side("a"), Side("b")
+
+
+def period_relation(a: Side = A, b: Side = B) -> Column:
     """unknown / same / different_basis / temporal."""
     def undated(s):
         return s["period_kind"].isNull() | (s["period_kind"] == "unknown") | (
@@ -131,17 +144,17 @@ def period_relation(a: Column = A, b: Column = B) -> Column:
             .otherwise(F.lit("different_basis")))
 
 
-def unit_relation(a: Column = A, b: Column = B) -> Column:
+def unit_relation(a: Side = A, b: Side = B) -> Column:
     """unknown / same / different."""
     return (F.when(a["unit_key"].isNull() | b["unit_key"].isNull(), F.lit("unknown"))
             .when(a["unit_key"] == b["unit_key"], F.lit("same")).otherwise(F.lit("different")))
 
 
-def both_numeric(a: Column = A, b: Column = B) -> Column:
+def both_numeric(a: Side = A, b: Side = B) -> Column:
     return a["value_numeric"].isNotNull() & b["value_numeric"].isNotNull()
 
 
-def _equal_numbers(a: Column, b: Column) -> Column:
+def _equal_numbers(a: Side, b: Side) -> Column:
     """Both numeric, and equal after scaling (same unit) or as written (unit unknown)."""
     no_unit = a["unit_key"].isNull() | b["unit_key"].isNull()
     return both_numeric(a, b) & F.coalesce(
@@ -149,17 +162,17 @@ def _equal_numbers(a: Column, b: Column) -> Column:
         .otherwise((a["unit_key"] == b["unit_key"]) & (a["base_value"] == b["base_value"])), F.lit(False))
 
 
-def agrees(a: Column = A, b: Column = B) -> Column:
+def agrees(a: Side = A, b: Side = B) -> Column:
     """The pair states the same value, so there is nothing to compare."""
     no_numbers = a["value_numeric"].isNull() & b["value_numeric"].isNull()
     return _equal_numbers(a, b) | (no_numbers & a["value_label"].eqNullSafe(b["value_label"]))
 
 
-def qualified(a: Column = A, b: Column = B) -> Column:
+def qualified(a: Side = A, b: Side = B) -> Column:
     return ~a["qualifier_label"].eqNullSafe(b["qualifier_label"]) | ~a["qualifier_plain"]
 
 
-def preliminary_class(a: Column = A, b: Column = B, *, unit: Column | None = None, period: Column | None = None) -> Column:
+def preliminary_class(a: Side = A, b: Side = B, *, unit: Column | None = None, period: Column | None = None) -> Column:
     unit = unit_relation(a, b) if unit is None else unit
     period = period_relation(a, b) if period is None else period
     scopes = a["scope_label"].isNotNull() & b["scope_label"].isNotNull()
@@ -173,7 +186,7 @@ def preliminary_class(a: Column = A, b: Column = B, *, unit: Column | None = Non
             .otherwise(F.lit("candidate_contradiction")))
 
 
-def reason_text(a: Column = A, b: Column = B, *, unit: Column | None = None, period: Column | None = None,
+def reason_text(a: Side = A, b: Side = B, *, unit: Column | None = None, period: Column | None = None,
                 klass: Column | None = None) -> Column:
     unit = unit_relation(a, b) if unit is None else unit
     period = period_relation(a, b) if period is None else period
@@ -191,7 +204,7 @@ def reason_text(a: Column = A, b: Column = B, *, unit: Column | None = None, per
     )
 
 
-def suspicion_score(similarity: Column, a: Column = A, b: Column = B, *, period: Column | None = None) -> Column:
+def suspicion_score(similarity: Column, a: Side = A, b: Side = B, *, period: Column | None = None) -> Column:
     """Ordered DOUBLE sum, 0 for pairs with a local explanation, at most 1."""
     period = period_relation(a, b) if period is None else period
     same_text = ~both_numeric(a, b) & a["value_text"].eqNullSafe(b["value_text"])
@@ -276,7 +289,8 @@ def pairs_across(new: DataFrame, stored: DataFrame, *, tile_rows: int = TILE_ROW
     hot = hot_blocks(new.unionByName(stored), tile_rows)
     crossed = _joined_any(_tiled(new, hot), _tiled(stored, hot))
     ordered = A["claim_id"] < B["claim_id"]
-    return crossed.select(*KEYS, F.when(ordered, A).otherwise(B).alias("a"), F.when(ordered, B).otherwise(A).alias("b"))
+    return crossed.select(*KEYS, F.when(ordered, A.column()).otherwise(B.column()).alias("a"),
+                          F.when(ordered, B.column()).otherwise(A.column()).alias("b"))
 
 
 def _joined_any(left: DataFrame, right: DataFrame) -> DataFrame:

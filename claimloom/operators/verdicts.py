@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import is_blank
-from claimloom.operators.pairs import A, B
+from claimloom.operators.pairs import A, B, Side
 
 # --- fixed values -----------------------------------------------------------
 CLASSIFICATIONS = ["CONTRADICTION", "CONSISTENT", "TEMPORAL_DIFFERENCE", "SCOPE_DIFFERENCE", "DEFINITION_DIFFERENCE",
@@ -29,16 +29,16 @@ KEY = ["document_id", "claim_a_id", "claim_b_id"]
 # ---------------------------------------------------------------------------
 
 
-def negation_differs(a: Column = A, b: Column = B) -> Column:
+def negation_differs(a: Side = A, b: Side = B) -> Column:
     """One side is negated and the texts are equal once negations are removed."""
     return (a["negated"] != b["negated"]) & (a["plain_digest"] == b["plain_digest"])
 
 
-def opposite_terms(a: Column = A, b: Column = B) -> Column:
+def opposite_terms(a: Side = A, b: Side = B) -> Column:
     return (a["left_words"].bitwiseAND(b["right_words"]) != 0) | (a["right_words"].bitwiseAND(b["left_words"]) != 0)
 
 
-def rule_verdict(a: Column = A, b: Column = B) -> Column:
+def rule_verdict(a: Side = A, b: Side = B) -> Column:
     """``struct<classification, confidence, explanation>`` by the first rule that holds."""
     def verdict(classification, confidence, explanation):
         return F.struct(F.lit(classification).alias("classification"),

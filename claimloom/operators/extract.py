@@ -39,14 +39,16 @@ CLAIM_FIELDS = ["entity_raw", "metric_raw", "value_text", "value_numeric", "unit
 
 def matches(text: Column, pattern: str) -> Column:
     """All matches as ``array<struct<start, text>>`` with zero-based offsets."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern)
+    pieces = F.arrays_zip(F.split(text, pattern).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("found"))
 
-    def total(parts, count):
-        return F.aggregate(F.slice(parts, 1, count), F.lit(0), lambda n, p: n + F.length(p))
+    def step(done, piece):
+        start = done["at"] + F.length(piece["gap"])
+        hit = F.array(F.struct(start.alias("start"), piece["hit"].alias("text")))
+        return F.when(piece["hit"].isNull(), done).otherwise(F.struct(
+            (start + F.length(piece["hit"])).alias("at"), F.concat(done["found"], hit).alias("found")))
 
-    return F.transform(found, lambda m, i: F.struct(
-        (total(gaps, i + 1) + total(found, i)).alias("start"), m.alias("text")))
+    return F.aggregate(pieces, nothing, step, lambda done: done["found"])
 
 
 # --- segments and sentences -------------------------------------------------------------
@@ -114,11 +116,18 @@ def literals(lines: DataFrame) -> DataFrame:
             .withColumn("years", F.array_distinct(F.regexp_extract_all(s, F.lit(CASED + YEAR), F.lit(0)))))
 
 
+def subject_of(sentence: Column) -> Column:
+    return F.btrim(F.get(F.split(sentence, ANY_CASE + SUBJECT_END, 2), 0), F.lit(" |:,-"))
+
+
+def named_subject(subject: Column, is_table: Column) -> Column:
+    words = F.regexp_count(subject, F.lit(rf"(?U)[^\s\x1c-\x1f]+"))
+    return F.when(~is_table & (subject != "") & (words <= ENTITY_WORDS), subject).otherwise(F.lit(UNKNOWN_ENTITY))
+
+
 def entity_of(sentence: Column, is_table: Column) -> Column:
     """Text before the first verb or metric word when it has at most six words; never for tables."""
-    subject = F.btrim(F.get(F.split(sentence, ANY_CASE + SUBJECT_END, 2), 0), F.lit(" |:,-"))
-    words = F.regexp_count(subject, F.lit(rf"(?U)[^\s\x1c-\x1f]+"))
-    return F.when((subject != "") & (words <= ENTITY_WORDS) & ~is_table, subject).otherwise(F.lit(UNKNOWN_ENTITY))
+    return named_subject(subject_of(sentence), is_table)
 
 
 def scope_of(sentence: Column) -> Column:
@@ -132,7 +141,9 @@ def kept_values(dates: Column, numbers: Column, has_metric: Column, is_table: Co
         n["start"] < d["start"] + F.length(d["text"]))) & ~(strip(n["text"]).rlike(bare_year) & (has_metric | is_table)))
 
     def tagged(values, is_date):
-        return F.transform(values, lambda v: F.struct(v["start"].alias("start"), v["text"].alias("text"), F.lit(is_date).alias("is_date")))
+        parts = (lambda v: F.lit(None).cast("array<string>")) if is_date else (lambda v: number_parts(v["text"]))
+        return F.transform(values, lambda v: F.struct(
+            v["start"].alias("start"), strip(v["text"]).alias("text"), F.lit(is_date).alias("is_date"), parts(v).alias("parts")))
 
     return F.concat(tagged(dates, True), tagged(free, False))
 
@@ -143,25 +154,26 @@ def nearest_metric(metrics: Column, start: Column) -> Column:
     return best["word"]
 
 
-def unit_of(value_text: Column) -> Column:
-    """Currency code, scale word and unit word of a number literal, joined; null when it has none."""
-    def group(n):
-        return F.nullif(strip(F.regexp_extract(value_text, ANY_CASE + "^" + NUMBER + "$", n)), F.lit(""))
-
-    symbol = group(1)
-    currency = F.coalesce(F.try_element_at(literal_map(CURRENCY_SYMBOLS), symbol), symbol)
-    return F.nullif(F.concat_ws(" ", currency, group(3), group(4)), F.lit(""))
+def number_parts(literal: Column) -> Column:
+    """Currency, digits, scale word and unit word of a number literal, in one match."""
+    parts = F.regexp_replace(literal, ANY_CASE + "^" + NUMBER + "$", "$1\u0001$2\u0001$3\u0001$4")
+    return F.transform(F.split(parts, "\u0001"), strip)
 
 
-def number_digits(value_text: Column) -> Column:
-    return F.replace(F.regexp_extract(value_text, ANY_CASE + "^" + NUMBER + "$", 2), F.lit(","), F.lit(""))
+def unit_of(parts: Column) -> Column:
+    """Currency code, scale word and unit word, joined; null when the literal has none."""
+    symbol = F.get(parts, 0)
+    currency = F.coalesce(F.try_element_at(literal_map(CURRENCY_SYMBOLS), symbol), symbol)
+    words = F.filter(F.array(currency, F.get(parts, 2), F.get(parts, 3)), lambda w: w != "")
+    return F.nullif(F.array_join(words, " "), F.lit(""))
 
 
 def facts(lines: DataFrame) -> DataFrame:
     """One row per value of the sentences, in claim form; ``overflow`` marks numbers beyond DECIMAL(24,8)."""
     has_metric = F.size("metrics") > 0
     found = (literals(lines)
-             .withColumn("entity_raw", entity_of(F.col("sentence"), F.col("is_table")))
+             .withColumn("subject", subject_of(F.col("sentence")))
+             .withColumn("entity_raw", named_subject(F.col("subject"), F.col("is_table")))
              .withColumn("scope", scope_of(F.col("sentence")))
              .withColumn("cells", F.when(F.col("is_table"), _cells(F.col("sentence"))))
              .withColumn("v", F.explode(kept_values(F.col("dates"), F.col("numbers"), has_metric, F.col("is_table")))))
@@ -171,7 +183,7 @@ def facts(lines: DataFrame) -> DataFrame:
                           - F.when(F.col("sentence").startswith("|"), 1).otherwise(0))
               .withColumn("header", F.when(table & (F.col("column_no") >= 0), F.nullif(F.get("headers", F.col("column_no")), F.lit(""))))
               .withColumn("word", nearest_metric(F.col("metrics"), start)))
-    before = F.btrim(F.regexp_replace("prefix", ANY_CASE + NUMBER, " "), F.lit(" :|,.-"))
+    before = F.when(F.col("word").isNull() & ~table, F.btrim(F.regexp_replace("prefix", ANY_CASE + NUMBER, " "), F.lit(" :|,.-")))
     fallback = F.coalesce(F.nullif(F.when(F.length(before) > METRIC_CHARACTERS, F.expr("right(_before, 100)"))
                                    .otherwise(F.col("_before")), F.lit("")),
                           F.when(is_date, F.lit(DATE_METRIC)).otherwise(F.lit(NUMBER_METRIC)))
@@ -179,12 +191,12 @@ def facts(lines: DataFrame) -> DataFrame:
     metric = F.when(table, F.coalesce(F.nullif(F.get("cells", 0), F.lit("")), F.col("word"), F.lit(TABLE_METRIC))).otherwise(
         F.coalesce(F.col("word"), fallback))
     years = F.when(table, F.array_distinct(F.regexp_extract_all(F.coalesce("header", F.lit("")), F.lit(CASED + YEAR), F.lit(0)))).otherwise(F.col("years"))
-    staged = staged.withColumn("_years", years).withColumn("value_text", strip(F.col("v.text")))
-    digits = F.when(~is_date, number_digits(F.col("value_text")))
+    staged = staged.withColumn("_years", years).withColumn("value_text", F.col("v.text"))
+    digits = F.when(~is_date, F.replace(F.get("v.parts", 1), F.lit(","), F.lit("")))
     return (staged.withColumn("metric_raw", metric).withColumn("_digits", digits)
             .withColumn("value_numeric", F.col("_digits").try_cast("decimal(24,8)"))
             .withColumn("overflow", F.col("_digits").isNotNull() & F.col("value_numeric").isNull())
-            .withColumn("unit", F.when(~is_date, unit_of(F.col("value_text"))))
+            .withColumn("unit", F.when(~is_date, unit_of(F.col("v.parts"))))
             .withColumn("period", F.when(~is_date & (F.size("_years") == 1), F.get("_years", 0)))
             .withColumn("qualifier", F.concat(F.lit("Table column: "), F.col("header")))
             .withColumn("claim_text", F.col("sentence")).withColumn("source_page", F.col("page"))

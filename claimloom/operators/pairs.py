@@ -34,6 +34,7 @@ SCORE_ENTITY, SCORE_METRIC, SCORE_PERIOD, SCORE_SCOPE, SCORE_VALUE, SCORE_SIMILA
 # ---------------------------------------------------------------------------
 
 TILE_ROWS = 4096
+LOOKUP_SALTS = 64
 KEYS = ["document_id", "entity_n", "metric_n"]
 RECORD = ["document_id", "chunk_id", "claim_id", "entity_raw", "metric_raw", "value_text", "value_numeric", "unit",
           "period", "scope", "qualifier", "claim_text", "source_page", "confidence", "entity_n", "metric_n"]
@@ -239,8 +240,15 @@ def hot_blocks(side_rows: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
 
 
 def _tiled(side_rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """Spread the rows of a hot block over a triangle of tile pairs (lo <= hi)."""
-    marked = (side_rows.withColumn("block_hash", F.xxhash64(*KEYS)).join(hot, "block_hash", "left").drop("block_hash")
+    """Spread the rows of a hot block over a triangle of tile pairs (lo <= hi).
+
+    The tile counts are looked up by (block, salt), so the rows of a hot block are not sent to one
+    task even for the lookup; the repeated lookup rows stay below claims x salts / tile_rows.
+    """
+    lookup = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(LOOKUP_SALTS - 1))))
+    marked = (side_rows.withColumn("block_hash", F.xxhash64(*KEYS))
+              .withColumn("salt", F.pmod(F.xxhash64(F.col("claim_id"), F.lit(1)), F.lit(LOOKUP_SALTS)).cast("int"))
+              .join(lookup, ["block_hash", "salt"], "left").drop("block_hash", "salt")
               .withColumn("tiles", F.coalesce("tiles", F.lit(1)))
               .withColumn("tile", F.pmod(F.xxhash64("claim_id"), F.col("tiles")).cast("int")))
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda other: F.struct(

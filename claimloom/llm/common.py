@@ -47,3 +47,21 @@ def arrow_map(df: DataFrame, work, schema: str) -> DataFrame:
 def texts_of(column) -> list[str]:
     """Texts of an Arrow column, null as empty."""
     return [t or "" for t in column.to_pylist()]
+
+
+ROW = "row__number"
+BROADCAST_ROWS = 2_000_000  # 8 bytes each
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number per row, the same in every reading of the same files."""
+    return docs.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``numbered`` docs but for the numbers of ``rows`` (a stored table).
+
+    Up to BROADCAST_ROWS numbers are sent to every task, so that texts stay where they are; more are joined by shuffling.
+    """
+    rows = rows.select(ROW)
+    return docs.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, ROW, "left_anti").drop(ROW)

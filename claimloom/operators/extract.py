@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.functions.text import WS, content_hash, content_text, is_blank, strip
+from claimloom.functions.text import WS, is_blank, strip
 from claimloom.functions.units import literal_map
 
 # --- fixed values -----------------------------------------------------------
@@ -169,7 +169,7 @@ def unit_of(parts: Column) -> Column:
 
 
 def facts(lines: DataFrame) -> DataFrame:
-    """One row per value of the sentences, in claim form; ``overflow`` marks numbers beyond DECIMAL(24,8)."""
+    """One row per value of the sentences, in claim form; ``overflow`` marks numbers that DECIMAL(24,8) cannot hold exactly."""
     has_metric = F.size("metrics") > 0
     found = (literals(lines)
              .withColumn("subject", subject_of(F.col("sentence")))
@@ -195,7 +195,7 @@ def facts(lines: DataFrame) -> DataFrame:
     digits = F.when(~is_date, F.replace(F.get("v.parts", 1), F.lit(","), F.lit("")))
     return (staged.withColumn("metric_raw", metric).withColumn("_digits", digits)
             .withColumn("value_numeric", F.col("_digits").try_cast("decimal(24,8)"))
-            .withColumn("overflow", F.col("_digits").isNotNull() & F.col("value_numeric").isNull())
+            .withColumn("overflow", F.col("_digits").isNotNull() & (F.col("value_numeric").isNull() | F.col("_digits").rlike(r"\.\d{8}\d*[1-9]")))
             .withColumn("unit", F.when(~is_date, unit_of(F.col("v.parts"))))
             .withColumn("period", F.when(~is_date & (F.size("_years") == 1), F.get("_years", 0)))
             .withColumn("qualifier", F.concat(F.lit("Table column: "), F.col("header")))
@@ -213,18 +213,37 @@ def claim_id() -> Column:
     return F.sha2(F.concat_ws("|", "document_id", "chunk_id", "extraction_key"), 256)
 
 
-def extract_claims(chunks: DataFrame) -> DataFrame:
-    """Claims of all chunks (one row per distinct claim of a chunk)."""
-    known = evidence_segments(chunks).where("page is not null")
-    keyed = facts(sentences(known)).where("not overflow").select("document_id", "chunk_id", *CLAIM_FIELDS)
+def found_facts(chunks: DataFrame) -> DataFrame:
+    """Facts of all chunks whose spans are in order, those that overflow included."""
+    broken = span_violations(chunks).select("document_id", "chunk_id").distinct()
+    sound = chunks.join(broken, ["document_id", "chunk_id"], "left_anti")
+    return facts(sentences(evidence_segments(sound).where("page is not null")))
+
+
+def claims_of(found: DataFrame) -> DataFrame:
+    """One row per distinct claim of a chunk."""
+    keyed = found.where("not overflow").select("document_id", "chunk_id", *CLAIM_FIELDS)
     named = keyed.withColumn("extraction_key", extraction_key()).withColumn("claim_id", claim_id())
     return named.dropDuplicates(["chunk_id", "document_id", "extraction_key"])
 
 
+def extract_claims(chunks: DataFrame) -> DataFrame:
+    """Claims of all chunks (one row per distinct claim of a chunk)."""
+    return claims_of(found_facts(chunks))
+
+
+def overflows_of(found: DataFrame) -> DataFrame:
+    return found.where("overflow").select("document_id", F.lit("EXTRACTING_CLAIMS").alias("stage"), F.col("chunk_id").alias("item_id"),
+                                          F.lit("value_overflow").alias("message"))
+
+
 def overflow_errors(chunks: DataFrame) -> DataFrame:
-    found = facts(sentences(evidence_segments(chunks).where("page is not null"))).where("overflow")
-    return found.select("document_id", F.lit("EXTRACTING_CLAIMS").alias("stage"), F.col("chunk_id").alias("item_id"),
-                        F.lit("value_overflow").alias("message"))
+    return overflows_of(found_facts(chunks))
+
+
+def span_errors(chunks: DataFrame) -> DataFrame:
+    """Chunks that cannot be read because their spans are not in order."""
+    return span_violations(chunks).select("document_id", F.lit("EXTRACTING_CLAIMS").alias("stage"), F.col("chunk_id").alias("item_id"), F.col("problem").alias("message"))
 
 
 # --- progress of extraction ----------------------------------------------------------------
@@ -244,58 +263,29 @@ def extraction_status(chunks: DataFrame, errors: DataFrame) -> DataFrame:
 
 # --- reuse of results for equal content ---------------------------------------------------------
 
-COPIES_PER_TASK = 2048
-
-
 def content_key(namespace: str) -> Column:
-    return F.sha2(F.to_json(F.struct(content_hash(F.col("text")).alias("text"), F.col("section"), F.lit(namespace).alias("extractor")),
+    return F.sha2(F.to_json(F.struct(F.col("segment_text").alias("text"), F.col("section"), F.lit(namespace).alias("extractor")),
                             {"ignoreNullFields": "false"}), 256)
 
 
-def extract_distinct(chunks: DataFrame, extractor=extract_claims, namespace: str = "facts-v1",
-                     copies_per_task: int = COPIES_PER_TASK) -> tuple[DataFrame, DataFrame]:
-    """Run ``extractor`` once per distinct (text, section) and bind its claims to every chunk with that content.
+def extract_distinct(chunks: DataFrame, extractor=extract_claims, namespace: str = "facts-v1") -> tuple[DataFrame, DataFrame]:
+    """Run ``extractor`` once per distinct evidence text and section, and give its claims to every place with that content.
 
-    Returns (claims, errors).  A content with very many copies is salted, so that its
-    copies are bound by several tasks.
+    A claim depends on the text of its segment alone; chunk and page are those of the place, so the result is that of
+    ``extractor`` on all chunks.  Returns (claims, errors).  Equal contents are counted map-side, and the copies of a hot
+    content meet its claims in a plain join, whose hot partitions adaptive execution splits.
     """
-    keyed = chunks.withColumn("content_key", content_key(namespace))
-    groups = keyed.groupBy("content_key").agg(
-        F.min_by("chunk_id", F.struct("document_id", "chunk_id")).alias("chunk_id"), F.min("document_id").alias("document_id"),
-        F.ceil(F.count(F.lit(1)) / F.lit(copies_per_task)).cast("int").alias("salts"))
-    first = keyed.join(groups.select("content_key", "document_id", "chunk_id"), ["content_key", "document_id", "chunk_id"], "left_semi")
-    anchored = _anchored(extractor(first), first.select("document_id", "chunk_id", "content_key", "text"))
-    spread = anchored.join(groups.select("content_key", "salts"), "content_key").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    targets = (keyed.join(groups.select("content_key", "salts"), "content_key")
-               .withColumn("salt", F.pmod(F.xxhash64("document_id", "chunk_id"), F.col("salts")).cast("int")))
-    bound = targets.join(spread, ["content_key", "salt"])
-    return _bound_claims(bound)
-
-
-def _anchored(claims: DataFrame, texts: DataFrame) -> DataFrame:
-    """Claims of the first chunk with the place of their quote in the normalized text."""
+    broken = span_errors(chunks)
+    sound = chunks.join(broken.select("document_id", F.col("item_id").alias("chunk_id")).distinct(), ["document_id", "chunk_id"], "left_anti")
+    places = evidence_segments(sound).where("page is not null").withColumn("content_key", content_key(namespace))
+    contents = places.groupBy("content_key").agg(F.first("segment_text").alias("text"), F.first("section").alias("section"))
+    no_spans = F.array().cast(chunks.schema["spans"].dataType)
+    distinct = contents.select(F.lit("").alias("document_id"), F.col("content_key").alias("chunk_id"), F.lit(1).alias("page_start"),
+                               F.lit(1).alias("page_end"), "section", "text", no_spans.alias("spans"))
     fields = [f for f in CLAIM_FIELDS if f != "source_page"]
-    place = F.expr("instr(content, claim_text) - 1")
-    return (claims.join(texts, ["document_id", "chunk_id"]).withColumn("content", content_text(F.col("text")))
-            .withColumn("anchor", place).select("content_key", "anchor", *fields))
-
-
-def _bound_claims(bound: DataFrame) -> tuple[DataFrame, DataFrame]:
-    lead = F.length("text") - F.length(F.regexp_replace("text", rf"(?U)^{WS}+", ""))
-    one_page = F.col("page_start") == F.col("page_end")
-    start, end = F.col("anchor") + F.col("lead"), F.col("anchor") + F.col("lead") + F.length("claim_text")
-    holding = F.filter("spans", lambda s: (s["chunk_char_start"] <= start) & (end <= s["chunk_char_end"]))
-    pages = F.when(one_page, F.array("page_start")).otherwise(F.array_distinct(F.transform(holding, lambda s: F.when(
-        F.size(s["page_numbers"]) == 1, s["page_number"]))))
-    placed = bound.withColumn("lead", lead).withColumn("pages", pages)
-    certain = (F.size("pages") == 1) & F.get("pages", 0).isNotNull()
-    claims = placed.where(certain).withColumn("source_page", F.get("pages", 0)).select("document_id", "chunk_id", *CLAIM_FIELDS)
-    claims = claims.withColumn("extraction_key", extraction_key()).withColumn("claim_id", claim_id())
-    errors = placed.where(~certain).select(
-        "document_id", F.lit("EXTRACTING_CLAIMS").alias("stage"), F.col("chunk_id").alias("item_id"),
-        F.lit("ambiguous_page").alias("message"))
-    return claims, errors
+    claims = extractor(distinct).select(F.col("chunk_id").alias("content_key"), *fields)
+    bound = places.select("document_id", "chunk_id", "content_key", F.col("page").alias("source_page")).join(claims, "content_key")
+    return claims_of(bound.withColumn("overflow", F.lit(False))), broken.unionByName(ungrounded_chunks(sound))
 
 
 # --- grounding -------------------------------------------------------------------------------------

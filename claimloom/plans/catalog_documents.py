@@ -48,11 +48,6 @@ def report_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return stage(spark, "report_chunks", sf, lambda: chunks.document_chunks(report_blocks(spark, sf), table_context(spark, sf)))
 
 
-def plain_report_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Prose chunks of the reports without table context."""
-    return stage(spark, "plain_report_chunks", sf, lambda: chunks.document_chunks(report_blocks(spark, sf)))
-
-
 def line_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return stage(spark, "line_chunks", sf, lambda: chunks.document_chunks(line_blocks(spark, sf)))
 

@@ -8,7 +8,7 @@ from claimloom.functions import text as tx
 from claimloom.operators import chunks, extract, normalize, pairs, verdicts
 from claimloom.plans import check_sql as sql
 from claimloom.plans.catalog import Catalog, claims_n
-from claimloom.plans.catalog_documents import (BLOCKS, LINES, WALK, line_blocks, line_chunks, page_blocks, plain_report_chunks,
+from claimloom.plans.catalog_documents import (BLOCKS, LINES, WALK, line_blocks, line_chunks, page_blocks,
                                                report_blocks, report_chunks, report_claims, resolved, table_context, turn_blocks)
 from claimloom.sources import derived
 
@@ -34,6 +34,50 @@ report_chunks as (select document_id, page_batch, run, string_agg(text, chr(10)
   min(page_number) as page_start, max(page_number) as page_end, array_to_string(list_distinct(list(block_type)), ',') as types, count(*) as n_blocks from placed group by all)"""
 
 
+_TABLE_TEXTS = f"""with recursive {WALK},
+claimed as (select document_id, page_batch, block_id from resolved),
+flow as (select o.*, case when o.block_type = 'table' then h.heading_text else o.section_heading end as own_section
+  from ordered o join headings h on h.document_id = o.document_id and h.page_batch = o.page_batch and h.block_id = o.block_id
+  where not exists (select 1 from claimed c where c.document_id = o.document_id and c.page_batch = o.page_batch and c.block_id = o.block_id)),
+seen as (select *, lag(block_type) over w as previous_type,
+  last_value(case when block_type = 'heading' then text when block_type <> 'table' then own_section end ignore nulls) over (w rows between unbounded preceding and 1 preceding) as section_before
+  from flow window w as (partition by document_id, page_batch order by idx)),
+marked as (select *, block_type not in ('heading', 'table') and own_section is not null and own_section is distinct from section_before as moved,
+  case when block_type = 'table' then coalesce(own_section, section_before) end as section from seen),
+state as (select *, last_value(case when block_type = 'heading' then block_id || '|' || text when moved then '|' end ignore nulls)
+    over (partition by document_id, page_batch order by idx rows between unbounded preceding and 1 preceding) as heading_state,
+  sum(case when block_type <> 'heading' then 1 else 0 end) over (partition by document_id, page_batch order by idx) as island from marked),
+parts as (
+  select t.document_id, t.page_batch, t.block_id as table_id, 0 as rank, p.idx as ord, p.block_id from state t join state p
+    on p.document_id = t.document_id and p.page_batch = t.page_batch and p.block_type = 'heading' and p.island = t.island - 1
+    where t.block_type = 'table' and t.previous_type = 'heading' and t.section is not distinct from t.section_before
+  union all select t.document_id, t.page_batch, t.block_id, 1, 0, split_part(t.heading_state, '|', 1) from state t join headings h
+    on h.document_id = t.document_id and h.page_batch = t.page_batch and h.block_id = t.block_id
+    where t.block_type = 'table' and h.heading_id is null and split_part(t.heading_state, '|', 1) <> '' and substr(t.heading_state, strpos(t.heading_state, '|') + 1) = t.section
+  union all select document_id, page_batch, block_id, 2, 0, heading_id from headings where block_type = 'table' and heading_id is not null
+  union all select r.document_id, r.page_batch, r.table_id, case r.role when 'preceding_paragraph' then 3 when 'captions' then 4 else 6 end, o.idx, r.block_id
+    from resolved r join ordered o on o.document_id = r.document_id and o.page_batch = r.page_batch and o.block_id = r.block_id
+  union all select document_id, page_batch, block_id, 5, 0, block_id from ordered where block_type = 'table'),
+firsts as (select document_id, page_batch, table_id, block_id, min(rank * 1000000 + ord) as place from parts group by all),
+table_texts as (select f.document_id, f.page_batch, f.table_id, string_agg(o.text, chr(10) || chr(10) order by f.place) as text, count(*) as n_blocks
+  from firsts f join ordered o on o.document_id = f.document_id and o.page_batch = f.page_batch and o.block_id = f.block_id group by all)"""
+
+# Every chunk of the reports, prose and tables, and the blocks in it (no report run is longer than a chunk).
+CHUNKS = f"""{_TABLE_TEXTS},
+numbered as (select *, sum(case when previous_type is null or block_type = 'table' or previous_type = 'table' or block_type = 'heading' and previous_type <> 'heading' or moved then 1 else 0 end)
+    over (partition by document_id, page_batch order by idx rows between unbounded preceding and current row) as run,
+  case when block_type = 'heading' then text else coalesce(own_section, section_before) end as run_section from marked),
+taken as (select document_id, page_batch, run - 1 as run from numbered where block_type = 'table' and previous_type = 'heading' and section is not distinct from section_before),
+chunk_blocks as (select n.document_id, n.page_batch, 'prose' as kind, n.run::varchar as chunk, n.idx as place, n.block_id, n.text, n.page_number, n.run_section as section
+    from numbered n where n.block_type <> 'table' and not exists (select 1 from taken t where t.document_id = n.document_id and t.page_batch = n.page_batch and t.run = n.run)
+  union all select f.document_id, f.page_batch, 'table', f.table_id, f.place, f.block_id, o.text, o.page_number, t.run_section
+    from firsts f join ordered o on o.document_id = f.document_id and o.page_batch = f.page_batch and o.block_id = f.block_id
+    join numbered t on t.document_id = f.document_id and t.page_batch = f.page_batch and t.block_id = f.table_id),
+spans as (select *, coalesce(sum(length(text) + 2) over (partition by document_id, page_batch, kind, chunk order by place rows between unbounded preceding and 1 preceding), 0)::bigint as start_at from chunk_blocks),
+all_chunks as (select document_id, page_batch, kind, chunk, string_agg(text, chr(10) || chr(10) order by place) as text, arg_max(section, place) as section,
+  min(page_number)::bigint as page_start, max(page_number)::bigint as page_end, count(*) as n_blocks from spans group by all)"""
+
+
 # --- chunks -------------------------------------------------------------------------------------
 
 @add("chk_01_token_estimates", "select doc_id, ceil(length(text) / 4.0)::bigint as tokens from documents")
@@ -45,7 +89,8 @@ def token_estimates(spark, sf):
   select *, coalesce(sum(length(text) + 2) over (partition by document_id, page_batch order by pos rows between unbounded preceding and 1 preceding), 0)::bigint as start_at from line_blocks)""")
 def block_offsets(spark, sf):
     """Character range of every line inside the joined text of its run."""
-    runs = chunks.prose_runs(chunks.sectioned(line_blocks(spark, sf)))
+    lines = line_blocks(spark, sf)
+    runs = chunks.prose_runs(chunks.sectioned(lines, chunks.bare_tables(lines)))
     ranges = runs.select("document_id", "page_batch", F.explode("ranges").alias("r"))
     blocks = line_blocks(spark, sf).select("document_id", "page_batch", "block_id", "pos")
     return ranges.select("document_id", "page_batch", "r.block_id", F.col("r.start").alias("start_at"), F.col("r.end").alias("end_at")).join(
@@ -54,7 +99,8 @@ def block_offsets(spark, sf):
 
 @add("chk_03_sections", f"with {RUNS} select document_id, block_id, run::bigint as run, section from runs")
 def sections(spark, sf):
-    return chunks.sectioned(report_blocks(spark, sf)).select("document_id", "block_id", "run", "section")
+    rows = report_blocks(spark, sf)
+    return chunks.sectioned(rows, chunks.bare_tables(rows)).select("document_id", "block_id", "run", "section")
 
 
 @add("chk_04_document_chunks")
@@ -89,15 +135,15 @@ def trimmed_chunks(spark, sf):
                                         F.count_if(ragged).alias("untrimmed"))
 
 
-@add("chk_07_source_spans", f"""with {RUNS} select document_id, page_batch::bigint as page_batch, block_id, 0::bigint as char_start, length(text) as char_end, start_at as chunk_char_start,
-  start_at + length(text) as chunk_char_end from placed p where not exists (select 1 from consumed c join runs t on t.document_id = c.document_id and t.page_batch = c.page_batch and t.run = c.run + 1
-  and t.block_type = 'table' and t.section is not distinct from t.section_before where c.document_id = p.document_id and c.page_batch = p.page_batch and c.run = p.run)""")
+@add("chk_07_source_spans", f"""{CHUNKS} select document_id, page_batch::bigint as page_batch, block_id, 0::bigint as char_start, length(text) as char_end, start_at as chunk_char_start,
+  start_at + length(text) as chunk_char_end from spans""")
 def source_spans(spark, sf):
-    """Spans of the report prose chunks; heading runs taken over by a table are not prose."""
-    return plain_report_chunks(spark, sf).select("document_id", "page_batch", F.explode("spans").alias("s")).select(
+    """Spans of all report chunks, prose and tables."""
+    return report_chunks(spark, sf).select("document_id", "page_batch", F.explode("spans").alias("s")).select(
         "document_id", "page_batch", "s.block_id", "s.char_start", "s.char_end", "s.chunk_char_start", "s.chunk_char_end")
 
 
+
 @add("chk_07_spans_of_cut_runs")
 def spans_of_cut_runs(spark, sf):
     """Spans of every document chunk, and whether the chunk text equals the block text at the span."""
@@ -108,12 +154,11 @@ def spans_of_cut_runs(spark, sf):
     return joined.select("document_id", "chunk_id", "block_id", F.col("s.char_start").alias("char_start"), F.col("s.char_end").alias("char_end"), same.alias("equal_text"))
 
 
-@add("chk_08_pages_and_types", f"""with {RUNS} select r.document_id, r.page_batch::bigint as page_batch, sha256(r.text) as content_hash, r.section, r.page_start::bigint as page_start, r.page_end::bigint as page_end, n_blocks
-from report_chunks r where not exists (select 1 from consumed c join runs t on t.document_id = c.document_id and t.page_batch = c.page_batch and t.run = c.run + 1
-  and t.block_type = 'table' and t.section is not distinct from t.section_before where c.document_id = r.document_id and c.page_batch = r.page_batch and c.run = r.run)""")
+@add("chk_08_pages_and_types", f"{CHUNKS} select document_id, page_batch::bigint as page_batch, sha256(text) as content_hash, section, page_start, page_end, n_blocks from all_chunks")
 def pages_and_types(spark, sf):
-    return plain_report_chunks(spark, sf).select("document_id", "page_batch", "content_hash", "section", "page_start", "page_end",
-                                                 F.size("source_block_ids").alias("n_blocks"))
+    return report_chunks(spark, sf).select("document_id", "page_batch", "content_hash", "section", "page_start", "page_end",
+                                           F.size("source_block_ids").alias("n_blocks"))
+
 
 
 @add("chk_09_chunk_ids")
@@ -122,48 +167,18 @@ def chunk_ids(spark, sf):
     return line_chunks(spark, sf).groupBy("document_id", "chunk_id").agg(F.count(F.lit(1)).alias("chunks"), F.max("overlap_characters").alias("overlap"))
 
 
-_TABLE_TEXTS = f"""with recursive {WALK},
-claimed as (select document_id, page_batch, block_id from resolved),
-flow as (select o.*, case when o.block_type = 'table' then h.heading_text else o.section_heading end as own_section
-  from ordered o join headings h on h.document_id = o.document_id and h.page_batch = o.page_batch and h.block_id = o.block_id
-  where not exists (select 1 from claimed c where c.document_id = o.document_id and c.page_batch = o.page_batch and c.block_id = o.block_id)),
-seen as (select *, lag(block_type) over w as previous_type,
-  last_value(case when block_type = 'heading' then text when block_type <> 'table' then own_section end ignore nulls) over (w rows between unbounded preceding and 1 preceding) as section_before
-  from flow window w as (partition by document_id, page_batch order by idx)),
-marked as (select *, block_type not in ('heading', 'table') and own_section is not null and own_section is distinct from section_before as moved,
-  case when block_type = 'table' then coalesce(own_section, section_before) end as section from seen),
-state as (select *, last_value(case when block_type = 'heading' then block_id || '|' || text when moved then '|' end ignore nulls)
-    over (partition by document_id, page_batch order by idx rows between unbounded preceding and 1 preceding) as heading_state,
-  sum(case when block_type <> 'heading' then 1 else 0 end) over (partition by document_id, page_batch order by idx) as island from marked),
-parts as (
-  select t.document_id, t.page_batch, t.block_id as table_id, 0 as rank, p.idx as ord, p.block_id from state t join state p
-    on p.document_id = t.document_id and p.page_batch = t.page_batch and p.block_type = 'heading' and p.island = t.island - 1
-    where t.block_type = 'table' and t.previous_type = 'heading' and t.section is not distinct from t.section_before
-  union all select t.document_id, t.page_batch, t.block_id, 1, 0, split_part(t.heading_state, '|', 1) from state t join headings h
-    on h.document_id = t.document_id and h.page_batch = t.page_batch and h.block_id = t.block_id
-    where t.block_type = 'table' and h.heading_id is null and split_part(t.heading_state, '|', 1) <> '' and substr(t.heading_state, strpos(t.heading_state, '|') + 1) = t.section
-  union all select document_id, page_batch, block_id, 2, 0, heading_id from headings where block_type = 'table' and heading_id is not null
-  union all select r.document_id, r.page_batch, r.table_id, case r.role when 'preceding_paragraph' then 3 when 'captions' then 4 else 6 end, o.idx, r.block_id
-    from resolved r join ordered o on o.document_id = r.document_id and o.page_batch = r.page_batch and o.block_id = r.block_id
-  union all select document_id, page_batch, block_id, 5, 0, block_id from ordered where block_type = 'table'),
-firsts as (select document_id, page_batch, table_id, block_id, min(rank * 1000000 + ord) as place from parts group by all),
-table_texts as (select f.document_id, f.page_batch, f.table_id, string_agg(o.text, chr(10) || chr(10) order by f.place) as text, count(*) as n_blocks
-  from firsts f join ordered o on o.document_id = f.document_id and o.page_batch = f.page_batch and o.block_id = f.block_id group by all)"""
-
-
 @add("chk_10_table_chunks", f"{_TABLE_TEXTS} select document_id, page_batch::bigint as page_batch, text, n_blocks from table_texts")
 def table_chunks(spark, sf):
     return report_chunks(spark, sf).where("kind = 'table'").select("document_id", "page_batch", "text", F.size("source_block_ids").alias("n_blocks"))
 
 
-@add("chk_11_size_distribution", f"""with {RUNS}, c as (select r.document_id, ceil(length(r.text) / 4.0)::bigint as tokens from report_chunks r
-where not exists (select 1 from consumed c join runs t on t.document_id = c.document_id and t.page_batch = c.page_batch and t.run = c.run + 1
-  and t.block_type = 'table' and t.section is not distinct from t.section_before where c.document_id = r.document_id and c.page_batch = r.page_batch and c.run = r.run))
-select document_id, count(*) as total_chunks, count(*) as prose_chunks, 0::bigint as table_chunks, min(tokens) as min_tokens, max(tokens) as max_tokens,
+@add("chk_11_size_distribution", f"""{CHUNKS}, sized as (select document_id, kind, ceil(length(text) / 4.0)::bigint as tokens from all_chunks)
+select document_id, count(*) as total_chunks, count(*) filter (kind = 'prose') as prose_chunks, count(*) filter (kind = 'table') as table_chunks, min(tokens) as min_tokens, max(tokens) as max_tokens,
   round(avg(tokens), 1) as mean_tokens, median(tokens) as median_tokens, count(*) filter (tokens < 600) as under_600,
-  count(*) filter (tokens between 600 and 1000) as from_600_to_1000, count(*) filter (tokens > 1000) as over_1000 from c group by 1""")
+  count(*) filter (tokens between 600 and 1000) as from_600_to_1000, count(*) filter (tokens > 1000) as over_1000 from sized group by 1""")
 def size_distribution(spark, sf):
-    return chunks.size_distribution(plain_report_chunks(spark, sf))
+    return chunks.size_distribution(report_chunks(spark, sf))
+
 
 
 @add("chk_11_document_sizes")
@@ -178,12 +193,12 @@ def example_chunks(spark, sf):
 
 # --- extraction -------------------------------------------------------------------------------------
 
-@add("ext_01_evidence_segments", f"""with {RUNS}, kept as (select * from report_chunks r where not exists (select 1 from consumed c join runs t on t.document_id = c.document_id and t.page_batch = c.page_batch
-  and t.run = c.run + 1 and t.block_type = 'table' and t.section is not distinct from t.section_before where c.document_id = r.document_id and c.page_batch = r.page_batch and c.run = r.run))
-select document_id, page_start::bigint as page, text as segment_text from kept where page_start = page_end
-union all select p.document_id, p.page_number::bigint, p.text from placed p join kept k on k.document_id = p.document_id and k.page_batch = p.page_batch and k.run = p.run where k.page_start <> k.page_end""")
+@add("ext_01_evidence_segments", f"""{CHUNKS} select document_id, page_start as page, text as segment_text from all_chunks where page_start = page_end
+union all select s.document_id, s.page_number::bigint, s.text from spans s join all_chunks c on c.document_id = s.document_id and c.page_batch = s.page_batch and c.kind = s.kind and c.chunk = s.chunk
+  where c.page_start <> c.page_end""")
 def evidence_segments(spark, sf):
-    return extract.evidence_segments(plain_report_chunks(spark, sf)).select("document_id", "page", "segment_text")
+    return extract.evidence_segments(report_chunks(spark, sf)).select("document_id", "page", "segment_text")
+
 
 
 @add("ext_02_span_violations", """select 'r' || cast(l_orderkey as varchar) as document_id, cast(l_partkey as varchar) || '-' || cast(l_suppkey as varchar) as chunk_id,
@@ -383,7 +398,7 @@ def pending_chunks(spark, sf):
 def extraction_status(spark, sf):
     """Status of every document chunk after extraction; numbers beyond the value type are recorded as errors."""
     c = line_chunks(spark, sf)
-    errors = extract.overflow_errors(c).unionByName(extract.ungrounded_chunks(c))
+    errors = extract.overflow_errors(c).unionByName(extract.ungrounded_chunks(c)).unionByName(extract.span_errors(c))
     return extract.extraction_status(c, errors)
 
 

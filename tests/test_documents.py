@@ -166,14 +166,48 @@ def test_multi_page_segments(spark):
     assert extract.ungrounded_chunks(c).count() == 0 and extract.span_violations(c).count() == 0
 
 
+SPAN = "array<struct<block_id:string,char_start:int,char_end:int,chunk_char_start:int,chunk_char_end:int,page_number:int,page_numbers:array<int>>>"
+CHUNK = f"document_id string, chunk_id string, page_start int, page_end int, section string, text string, spans {SPAN}"
+
+
 def test_reuse_equals_plain_extraction(spark):
-    """Copies (one content holds most chunks) are extracted once and bound to each chunk's own page."""
-    texts = ["Acme has 5 employees."] * 12 + ["Beta has 7 units."] + ["  Acme has 5 employees.\r\n"]
-    c = chunk_rows(spark, texts).withColumn("page_start", F.length("chunk_id")).withColumn("page_end", F.length("chunk_id"))
-    claims, errors = extract.extract_distinct(c, copies_per_task=4)
+    """One content in most chunks, the same sentence on two pages, Windows line endings, a broken span: reuse changes nothing."""
+    said = "Acme has 5 employees."
+    rows = [("d", f"k{i}", i + 1, i + 1, None, said, []) for i in range(12)] + [("d", "k12", 1, 1, None, f"  {said}\r\nBeta has 7 units.", [])]
+    rows += [("d", f"two{i}", 1, 2, None, f"{said}\n\n{said}", [("a", 0, 21, 0, 21, 1, [1]), ("b", 0, 21, 23, 44, 2, [2])]) for i in range(3)]
+    rows += [("d", "broken", 1, 2, None, f"{said}\n\n{said}", [("a", 0, 21, 0, 21, 1, [1]), ("b", 0, 21, 40, 90, 2, [2])])]
+    c = spark.createDataFrame(rows, CHUNK)
+    claims, errors = extract.extract_distinct(c)
     fields = ["chunk_id", "value_text", "source_page", "extraction_key", "claim_id"]
-    assert sorted(claims.select(*fields).collect()) == sorted(extract.extract_claims(c).select(*fields).collect())
-    assert errors.count() == 0
+    found = sorted(claims.select(*fields).collect())
+    assert found == sorted(extract.extract_claims(c).select(*fields).collect())
+    assert sorted(r.source_page for r in found if r.chunk_id == "two1") == [1, 2]
+    assert len({r.claim_id for r in found}) == len(found) == 12 + 2 + 6
+    assert [(r.item_id, r.message) for r in errors.collect()] == [("broken", "invalid_offsets")]
+    status = {r.chunk_id: r.extraction_status for r in extract.extraction_status(c, errors).collect()}
+    assert status.pop("broken") == "FAILED" and set(status.values()) == {"COMPLETED"}
+
+
+def test_numbers_that_do_not_fit_are_errors(spark):
+    """Neither rounded together nor silently dropped."""
+    c = chunk_rows(spark, ["Share of 0.123456781 units.", "Share of 0.123456784 units.", "Total of 12345678901234567 units.", "Share of 0.12345678 units."])
+    assert [r.value_text for r in extract.extract_claims(c).collect()] == ["0.12345678 units"]
+    assert sorted(r.item_id for r in extract.overflow_errors(c).collect()) == ["k0", "k1", "k2"]
+
+
+def test_every_table_becomes_a_chunk(spark):
+    """Without context a table stands alone, with the headings right before it; with context nothing is lost either."""
+    items = [("d", 1, 1, "#/1", "section_header", "Sales", "s"), ("d", 2, 1, "#/2", "table", "|a|b|\n|:---|:---|\n|x|1|", "s"), ("d", 3, 1, "#/3", "text", "Closing words.", "s")]
+    rows = blocks.blocks_from_items(spark.createDataFrame(items, "document_id string, pos bigint, page_number int, self_ref string, label string, text string, source_sha256 string"))
+    found = [(r.kind, r.text) for r in chunks.document_chunks(rows).orderBy("seq").collect()]
+    assert found == [("table", "Sales\n\n|a|b|\n|:---|:---|\n|x|1|"), ("prose", "Closing words.")]
+
+
+def test_splitter_cuts_between_words_of_long_runs():
+    text = "word " * 4000
+    cuts = chunks.cut_points(text, [], SIZES)
+    assert cuts[0][0] == 0 and cuts[-1][1] == len(text)
+    assert all(b[0] <= a[1] and b[2] == a[1] - b[0] for a, b in zip(cuts, cuts[1:])) and all(text[s - 1] == " " for s, _, _ in cuts[1:])
 
 
 def test_grounding(spark):

@@ -165,11 +165,10 @@ def review_requests(queue_evidence: DataFrame) -> DataFrame:
                         i["candidate_id"].alias("candidate_id"), i["evidence"].alias("evidence"))).alias("candidates"))).alias("request")))
 
 
-def insufficient_verdicts(queue_evidence: DataFrame) -> DataFrame:
-    return queue_evidence.where("insufficient_reason is not null").select(
-        *KEY, F.lit("INSUFFICIENT_CONTEXT").alias("classification"), F.col("insufficient_reason").alias("explanation"),
-        F.lit(0).cast("decimal(5,4)").alias("confidence"), F.lit("needs_review").alias("status"),
-        F.lit("external").alias("source"))
+def insufficient_errors(intake: DataFrame) -> DataFrame:
+    """An error row for each comparison that needs its source reviewed."""
+    return intake.where("classification = 'INSUFFICIENT_CONTEXT'").select(
+        "document_id", F.lit("VERIFYING").alias("stage"), F.col("candidate_id").alias("item_id"), F.lit("insufficient_context").alias("category"))
 
 
 def answer_is_valid() -> Column:
@@ -181,23 +180,26 @@ def answer_is_valid() -> Column:
         & F.length("candidate_id").between(1, CANDIDATE_ID_LIMIT), F.lit(False))
 
 
-def take_answers(queue: DataFrame, answers: DataFrame) -> DataFrame:
+def take_answers(queue_evidence: DataFrame, answers: DataFrame) -> DataFrame:
     """Match answers (document_id, candidate_id, classification, explanation, confidence) to the queue.
 
-    An id answered twice is not accepted, unknown ids are ignored, and queued ids
-    without a valid answer come out as VERIFICATION_FAILED.
+    Pairs without sufficient evidence are not answerable: they are settled as INSUFFICIENT_CONTEXT with confidence 0, whatever was
+    answered.  An id answered twice is not accepted, unknown ids are ignored, and other queued ids without a valid
+    answer come out as VERIFICATION_FAILED.
     """
     once = (answers.where(F.col("candidate_id").isNotNull()).withColumn("valid", answer_is_valid())
             .groupBy("document_id", "candidate_id")
             .agg(F.count(F.lit(1)).alias("given"), F.bool_and("valid").alias("valid"),
-                 F.first(F.struct("classification", "explanation", "confidence")).alias("answer"))
+                 F.first(F.struct("classification", "explanation", F.col("confidence").cast("decimal(20,10)").alias("confidence"))).alias("answer"))
             .where("given = 1 and valid").select("document_id", "candidate_id", "answer"))
-    return (queue.select(*KEY, candidate_id().alias("candidate_id"))
-            .join(once, ["document_id", "candidate_id"], "left")
+    settled = F.when(F.col("insufficient_reason").isNotNull(), F.struct(
+        F.lit("INSUFFICIENT_CONTEXT").alias("classification"), F.col("insufficient_reason").alias("explanation"), F.lit(0).cast("decimal(20,10)").alias("confidence")))
+    return (queue_evidence.select(*KEY, candidate_id().alias("candidate_id"), "insufficient_reason")
+            .join(once, ["document_id", "candidate_id"], "left").withColumn("answer", F.coalesce(settled, "answer"))
             .select(*KEY, "candidate_id",
                     F.when(F.col("answer").isNull(), F.lit("VERIFICATION_FAILED")).otherwise(F.lit("VERIFIED")).alias("intake"),
                     F.col("answer.classification").alias("classification"), F.col("answer.explanation").alias("explanation"),
-                    F.round(F.col("answer.confidence").cast("decimal(20,10)"), 4).cast("decimal(5,4)").alias("confidence")))
+                    F.round(F.col("answer.confidence"), 4).cast("decimal(5,4)").alias("confidence")))
 
 
 def merge_verdicts(rules: DataFrame, kept: DataFrame, answers: DataFrame) -> DataFrame:
@@ -214,6 +216,11 @@ def merge_verdicts(rules: DataFrame, kept: DataFrame, answers: DataFrame) -> Dat
     return every.groupBy(*KEY).agg(F.max_by("v", "v.rank").alias("v")).select(*KEY, *[f"v.{f}" for f in fields])
 
 
+def checkpoint_state(kept: DataFrame, intake: DataFrame) -> DataFrame:
+    """State of every kept pair: the rules settle all of them, and the queue's intake decides for its own."""
+    return kept.select(*KEY).join(intake.select(*KEY, "intake"), KEY, "left").withColumn("intake", F.coalesce("intake", F.lit("VERIFIED")))
+
+
 def checkpoint_counts(queue_status: DataFrame) -> DataFrame:
     """(document_id, intake) -> verified / failed / pending counts."""
     def n(value):

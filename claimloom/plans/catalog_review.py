@@ -9,7 +9,7 @@ from claimloom.operators import pairs, verdicts
 from claimloom.plans import check_sql as sql
 from claimloom.plans.catalog import Catalog, candidates, claims_n, side_rows
 from claimloom.session import stage
-from claimloom.sources import derived
+from claimloom.sources import derived, responses
 
 catalog = Catalog()
 add = catalog.add
@@ -80,8 +80,7 @@ def answers(queued: DataFrame) -> DataFrame:
 
 
 def intake(spark: SparkSession, sf: str) -> DataFrame:
-    queued = queue(spark, sf)
-    return verdicts.take_answers(queued, answers(queued))
+    return verdicts.take_answers(evidence(spark, sf), answers(queue(spark, sf)))
 
 
 @add("pai_13_merged_pairs", f"""with {sql.LINKS} select document_id, claim_a_id, claim_b_id, preliminary_classification,
@@ -167,7 +166,7 @@ def review_requests(spark, sf):
                            F.when(sent == F.col("candidates"), F.lit(1)).otherwise(F.lit(0)).alias("has_request"))
 
 
-@add("ver_10_answer_intake", f"with {sql.LINKS}, {sql.ANSWERS} select * from intake")
+@add("ver_10_answer_intake", f"with {sql.EVIDENCE}, {sql.ANSWERS} select * from intake")
 def answer_intake(spark, sf):
     return intake(spark, sf)
 
@@ -179,18 +178,18 @@ def verdict_responses(spark, sf):
     body = (answers(queue(spark, sf)).groupBy("document_id", F.pmod(F.xxhash64("candidate_id"), F.lit(16)).alias("part"))
             .agg(F.to_json(F.struct(F.collect_list(F.struct("candidate_id", "classification", "explanation", "confidence"))
                                     .alias("results"))).alias("response")))
-    schema = "results array<struct<candidate_id string, classification string, explanation string, confidence double>>"
-    rows = body.select("document_id", F.explode(F.from_json("response", schema)["results"]).alias("r")).select("document_id", "r.*")
+    read = responses.read_verdict_responses(body).where("error is null")
+    rows = read.select("document_id", F.explode("results").alias("r")).select("document_id", "r.*")
     return rows.withColumn("valid", verdicts.answer_is_valid())
 
 
-@add("ver_11_merged_verdicts", f"""with {sql.LINKS}, {sql.ANSWERS},
+@add("ver_11_merged_verdicts", f"""with {sql.EVIDENCE}, {sql.ANSWERS},
 kept as (select document_id, claim_a_id, claim_b_id, 1 as k from all_scored where similarity > 0.9)
 select s.document_id, s.claim_a_id, s.claim_b_id,
   case when i.intake = 'VERIFIED' then i.classification when kept.k is not null then 'TEMPORAL_DIFFERENCE' else s.classification end as classification,
   case when i.intake = 'VERIFIED' or kept.k is not null then 'external' else 'rules' end as source,
   case case when i.intake = 'VERIFIED' then i.classification when kept.k is not null then 'TEMPORAL_DIFFERENCE' else s.classification end
-    when 'CONTRADICTION' then 'verified' when 'CONSISTENT' then 'dismissed' else 'contextual_difference' end as status
+    when 'CONTRADICTION' then 'verified' when 'CONSISTENT' then 'dismissed' when 'INSUFFICIENT_CONTEXT' then 'needs_review' else 'contextual_difference' end as status
 from all_scored s left join intake i on i.document_id = s.document_id and i.claim_a_id = s.claim_a_id and i.claim_b_id = s.claim_b_id
 left join kept on kept.document_id = s.document_id and kept.claim_a_id = s.claim_a_id and kept.claim_b_id = s.claim_b_id""")
 def merged_verdicts(spark, sf):
@@ -204,15 +203,18 @@ def merged_verdicts(spark, sf):
     return final.select(*KEY, "classification", "source", "status")
 
 
-@add("ver_12_checkpoint_counts", f"""with {sql.LINKS}, {sql.ANSWERS},
-state as (select s.document_id, case when s.classification <> 'UNCERTAIN' then 'VERIFIED' else coalesce(i.intake, 'VERIFICATION_PENDING') end as intake
+CHECKPOINT = f"""{sql.EVIDENCE}, {sql.ANSWERS},
+state as (select s.document_id, coalesce(i.intake, 'VERIFIED') as intake
   from all_scored s left join intake i on i.document_id = s.document_id and i.claim_a_id = s.claim_a_id and i.claim_b_id = s.claim_b_id
-  where s.score >= 0.65)
-select document_id, count(*) filter (intake = 'VERIFIED') as candidates_verified, count(*) filter (intake = 'VERIFICATION_FAILED') as candidates_failed,
-  count(*) filter (intake = 'VERIFICATION_PENDING') as candidates_pending from state group by 1""")
+  where s.score >= 0.65),
+checkpoint as (select document_id, count(*) filter (intake = 'VERIFIED') as candidates_verified, count(*) filter (intake = 'VERIFICATION_FAILED') as candidates_failed,
+  count(*) filter (intake = 'VERIFICATION_PENDING') as candidates_pending from state group by 1)"""
+
+
+def checkpoint(spark: SparkSession, sf: str) -> DataFrame:
+    return verdicts.checkpoint_counts(verdicts.checkpoint_state(pairs.above_threshold(all_verdicts(spark, sf)), intake(spark, sf)))
+
+
+@add("ver_12_checkpoint_counts", f"with {CHECKPOINT} select * from checkpoint")
 def checkpoint_counts(spark, sf):
-    kept = pairs.above_threshold(all_verdicts(spark, sf)).select(*KEY, "classification")
-    state = kept.join(intake(spark, sf).select(*KEY, "intake"), KEY, "left").withColumn(
-        "intake", F.when(F.col("classification") != "UNCERTAIN", F.lit("VERIFIED"))
-        .otherwise(F.coalesce("intake", F.lit("VERIFICATION_PENDING"))))
-    return verdicts.checkpoint_counts(state)
+    return checkpoint(spark, sf)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.operators import audits, pairs, serving, tables
+from claimloom.operators import audits, pairs, serving, similar, tables
 from claimloom.plans import check_sql as sql
 from claimloom.plans.catalog import Catalog, claims_n, judged_pairs
-from claimloom.plans.catalog_review import all_verdicts, evidence_claims
+from claimloom.plans.catalog_review import CHECKPOINT, all_verdicts, checkpoint, evidence, evidence_claims
 from claimloom.session import stage
 from claimloom.sources import derived
 
@@ -90,44 +90,45 @@ def chunk_status_pivot(spark, sf):
     return serving.chunk_status_pivot(derived.order_chunks(spark, sf))
 
 
-@add("srv_05_processing_summary", f"""with {sql.LINKS}, {_DOCS}, chunks as ({sql.CHUNKS}),
-c as (select document_id, count(*) as chunks from chunks group by 1),
-n as (select document_id, count(*) as claims, count(claim_text) as embeddings_completed from sides group by 1),
+@add("srv_05_processing_summary", f"""with {CHECKPOINT}, {_DOCS},
+c as (select document_id, count(*) as chunks, count(*) filter (extraction_status = 'FAILED') as failed_chunks from chunks group by 1),
+n as (select document_id, count(*) as claims, count(vec_id) as embeddings_completed from sides left join embeddings on vec_id = cast(substr(claim_id, 2) as bigint) group by 1),
 p as (select document_id, count(*) filter (is_structured) as deterministic_candidates, count(*) filter (is_semantic) as semantic_candidates,
   count(*) as candidates_before_filtering, count(*) filter (score >= 0.65) as candidates_after_filtering,
-  count(*) filter (score >= 0.65 and classification <> 'UNCERTAIN') as candidates_verified,
   count(*) filter (classification = 'CONTRADICTION') as verified_contradictions from all_scored group by 1),
-q as (select document_id, 1 as external_requests from queue group by 1)
-select document_id, 'COMPLETED' as status, page_count::bigint as pages, page_count::bigint as pages_processed, 25::bigint as page_batch_size,
+q as (select document_id, 1 as external_requests from evidence where insufficient_reason is null group by 1)
+select document_id, case when coalesce(failed_chunks, 0) > 0 and coalesce(claims, 0) = 0 then 'FAILED' else 'COMPLETED' end as status, page_count::bigint as pages, page_count::bigint as pages_processed, 25::bigint as page_batch_size,
   ceil(page_count / 25.0)::bigint as total_page_batches, coalesce(chunks, 0) as chunks, coalesce(claims, 0) as claims,
   coalesce(deterministic_candidates, 0) as deterministic_candidates, coalesce(semantic_candidates, 0) as semantic_candidates,
-  coalesce(embeddings_completed, 0) as embeddings_completed, 0::bigint as embeddings_failed, coalesce(claims, 0) as locally_extracted_facts,
+  coalesce(embeddings_completed, 0) as embeddings_completed, coalesce(claims - embeddings_completed, 0) as embeddings_failed, coalesce(claims, 0) as locally_extracted_facts,
   coalesce(candidates_before_filtering, 0) as candidates_before_filtering, coalesce(candidates_after_filtering, 0) as candidates_after_filtering,
-  coalesce(external_requests, 0)::bigint as external_requests, 0::bigint as candidates_pending, coalesce(candidates_after_filtering, 0) as candidates_total,
-  coalesce(candidates_verified, 0) as candidates_verified, 0::bigint as candidates_failed, coalesce(verified_contradictions, 0) as verified_contradictions
-from docs left join c using (document_id) left join n using (document_id) left join p using (document_id) left join q using (document_id)""")
+  coalesce(external_requests, 0)::bigint as external_requests, coalesce(candidates_pending, 0) as candidates_pending, coalesce(candidates_after_filtering, 0) as candidates_total,
+  coalesce(candidates_verified, 0) as candidates_verified, coalesce(candidates_failed, 0) as candidates_failed, coalesce(verified_contradictions, 0) as verified_contradictions
+from docs left join c using (document_id) left join n using (document_id) left join p using (document_id) left join q using (document_id) left join checkpoint using (document_id)""")
 def processing_summary(spark, sf):
+    """Counters of every document, each from the rows it counts; claims without a usable vector are failed embeddings."""
     every = all_verdicts(spark, sf)
     kept = F.col("score") >= F.lit(pairs.SCORE_THRESHOLD)
-    undecided = F.col("classification") == "UNCERTAIN"
     pair_counts = every.groupBy("document_id").agg(
         F.count_if("is_structured").alias("deterministic_candidates"), F.count_if("is_semantic").alias("semantic_candidates"),
         F.count(F.lit(1)).alias("candidates_before_filtering"), F.count_if(kept).alias("candidates_after_filtering"),
-        F.count_if(kept & ~undecided).alias("candidates_verified"),
-        F.count_if(serving.contradiction_filter()).alias("verified_contradictions"),
-        F.max(F.when(kept & undecided, F.lit(1)).otherwise(F.lit(0))).cast("bigint").alias("external_requests"))
-    claim_counts = claims_n(spark, sf).groupBy("document_id").agg(
-        F.count(F.lit(1)).alias("claims"), F.count("claim_text").alias("embeddings_completed"))
-    chunk_counts = serving.per_document_count(derived.order_chunks(spark, sf), "chunks")
-    whole = serving.summaries(claim_documents(spark, sf), [chunk_counts, claim_counts, pair_counts])
-    zero = F.lit(0).cast("bigint")
+        F.count_if(serving.contradiction_filter()).alias("verified_contradictions"))
+    requests = evidence(spark, sf).where("insufficient_reason is null").select("document_id").distinct().withColumn("external_requests", F.lit(1).cast("bigint"))
+    vectors = derived.table(spark, sf, "embeddings").select(
+        F.concat(F.lit("c"), F.lpad(F.col("vec_id").cast("string"), 10, "0")).alias("claim_id"), similar.vector_problem(F.col("embedding"), 64).isNull().alias("embedded"))
+    claim_counts = claims_n(spark, sf).join(vectors, "claim_id", "left").groupBy("document_id").agg(
+        F.count(F.lit(1)).alias("claims"), F.count_if("embedded").alias("embeddings_completed"), F.count_if(~F.coalesce("embedded", F.lit(False))).alias("embeddings_failed"))
+    chunk_counts = derived.order_chunks(spark, sf).groupBy("document_id").agg(
+        F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("extraction_status") == "FAILED").alias("chunks_failed"))
+    whole = serving.summaries(claim_documents(spark, sf), [chunk_counts, claim_counts, pair_counts, requests, checkpoint(spark, sf)])
+    failed = (F.col("chunks_failed") > 0) & (F.col("claims") == 0)
     return whole.select(
-        "document_id", F.lit("COMPLETED").alias("status"), F.col("page_count").alias("pages"),
+        "document_id", F.when(failed, "FAILED").otherwise("COMPLETED").alias("status"), F.col("page_count").alias("pages"),
         F.col("page_count").alias("pages_processed"), "page_batch_size", "total_page_batches", "chunks", "claims",
-        "deterministic_candidates", "semantic_candidates", "embeddings_completed", zero.alias("embeddings_failed"),
+        "deterministic_candidates", "semantic_candidates", "embeddings_completed", "embeddings_failed",
         F.col("claims").alias("locally_extracted_facts"), "candidates_before_filtering", "candidates_after_filtering",
-        "external_requests", zero.alias("candidates_pending"), F.col("candidates_after_filtering").alias("candidates_total"),
-        "candidates_verified", zero.alias("candidates_failed"), "verified_contradictions")
+        "external_requests", "candidates_pending", F.col("candidates_after_filtering").alias("candidates_total"),
+        "candidates_verified", "candidates_failed", "verified_contradictions")
 
 
 @add("srv_06_document_metadata", f"with r as ({sql.REGISTRY}) select document_id, filename, page_count::bigint as page_count, status from r")

@@ -258,9 +258,10 @@ answers as (
     'checked ' || candidate_id as explanation, case when queue_rank = 3 then 1.5 else 0.7 end::double as confidence from queue where queue_rank <= 8
   union all select document_id, candidate_id, 'CONSISTENT', 'again', 0.5::double from queue where queue_rank = 2
   union all select document_id, candidate_id || 'x', 'CONSISTENT', 'unknown id', 0.5::double from queue),
-intake as (select q.document_id, q.claim_a_id, q.claim_b_id, q.candidate_id, a.classification, a.explanation, a.confidence,
-  case when a.candidate_id is null then 'VERIFICATION_FAILED' else 'VERIFIED' end as intake
-  from queue q left join (select document_id, candidate_id, any_value(classification) as classification, any_value(explanation) as explanation,
+intake as (select q.document_id, q.claim_a_id, q.claim_b_id, q.candidate_id, case when q.insufficient_reason is null then a.classification else 'INSUFFICIENT_CONTEXT' end as classification,
+  coalesce(q.insufficient_reason, a.explanation) as explanation, case when q.insufficient_reason is null then a.confidence else 0.0::double end as confidence,
+  case when a.candidate_id is null and q.insufficient_reason is null then 'VERIFICATION_FAILED' else 'VERIFIED' end as intake
+  from evidence q left join (select document_id, candidate_id, any_value(classification) as classification, any_value(explanation) as explanation,
     any_value(confidence) as confidence from answers group by 1, 2
     having count(*) = 1 and bool_and(confidence between 0 and 1)) a
   on a.document_id = q.document_id and a.candidate_id = q.candidate_id)"""

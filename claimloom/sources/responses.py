@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 RESPONSE_FIELDS = ["entity_raw", "entity_normalized", "metric_raw", "metric_normalized", "value_text", "value_numeric", "unit",
                    "period", "scope", "qualifier", "claim_text", "source_page", "confidence"]
 REQUIRED_FIELDS = ["entity_raw", "entity_normalized", "metric_raw", "metric_normalized", "value_text", "claim_text", "source_page"]
+VERDICT_FIELDS = ["candidate_id", "classification", "explanation", "confidence"]
 # ---------------------------------------------------------------------------
 
 CLAIM = "struct<" + ",".join(f"{n}:{'bigint' if n == 'source_page' else 'string'}" for n in RESPONSE_FIELDS) + ">"
@@ -73,6 +75,37 @@ def read_claim_responses(df: DataFrame, column: str = "response") -> DataFrame:
         "claims", F.from_json("_r.claims", f"array<{CLAIM}>")).drop("_r")
 
 
+def _strict_verdicts(text: str | None) -> tuple[str | None, str | None]:
+    """(error, results as JSON) of one verdict response: exactly the known fields, each once, of their types."""
+    try:
+        body = json.loads(text or "", parse_constant=_constant, object_pairs_hook=_no_repeats)
+    except json.JSONDecodeError:
+        return "malformed_json", None
+    except ValueError as problem:
+        return str(problem), None
+    results = body.get("results") if isinstance(body, dict) and set(body) == {"results"} else None
+    if not isinstance(results, list) or any(not isinstance(r, dict) or set(r) != set(VERDICT_FIELDS) for r in results):
+        return "unexpected_fields", None
+    for r in results:
+        texts = all(isinstance(r[f], str) for f in VERDICT_FIELDS[:3])
+        if not texts or isinstance(r["confidence"], bool) or not isinstance(r["confidence"], (int, float)):
+            return "wrong_type", None
+        if not math.isfinite(r["confidence"]):
+            return "non_finite_number", None
+    return None, json.dumps(results)
+
+
+def _strict_verdict_batch(text: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_strict_verdicts(t) for t in text], columns=["error", "results"])
+
+
+def read_verdict_responses(df: DataFrame, column: str = "response") -> DataFrame:
+    """Add ``error`` and typed ``results`` of external verdicts; a response with any fault is refused whole."""
+    checked = df.withColumn("_r", F.pandas_udf(_strict_verdict_batch, "struct<error:string,results:string>")(F.col(column)))
+    kind = "array<struct<candidate_id:string,classification:string,explanation:string,confidence:double>>"
+    return checked.withColumn("error", F.col("_r.error")).withColumn("results", F.from_json("_r.results", kind)).drop("_r")
+
+
 def claim_response(fields: dict[str, Column]) -> Column:
     """JSON text of a one-claim response."""
     return F.to_json(F.struct(F.array(F.struct(*[c.alias(n) for n, c in fields.items()])).alias("claims")), {"ignoreNullFields": "false"})

@@ -66,7 +66,7 @@ QUERIES = {
     "pai_03_candidate_pairs": lambda spark: pairs.pairs_of(side_rows(spark)),
     "pai_10_class_counts": lambda spark: pairs.candidate_counts(side_rows(spark)),
     "pai_16_ranked_scores": lambda spark: pairs.ranked(pairs.above_threshold(pairs.scored(pairs.pairs_of(side_rows(spark)))).select(
-        "document_id", F.col("a.claim_id").alias("claim_a_id"), F.col("b.claim_id").alias("claim_b_id"), "score"), prefix=9),
+        "document_id", F.col("a.claim_id").alias("claim_a_id"), F.col("b.claim_id").alias("claim_b_id"), "score")),
     "srv_01_visible_contradictions": visible,
     "emb_08_top_neighbours": lambda spark: similar.top_neighbours(catalog_vectors.vector_claims(spark, SF), threshold=0.3),
     "src_05_html_blocks": lambda spark: blocks.blocks_from_items(ts.html_items(derived.table(spark, SF, "pages"))),

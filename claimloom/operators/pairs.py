@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import WS, label, squeeze, strip
+from claimloom.session import materialize
 
 # --- fixed values -----------------------------------------------------------
 PLAIN_QUALIFIERS = ["actual", "standalone", "consolidated", "audited"]
@@ -384,17 +385,18 @@ def above_threshold(scored_pairs: DataFrame, threshold: float = SCORE_THRESHOLD)
     return scored_pairs.where(F.col("score") >= F.lit(threshold))
 
 
-def ranked(scored_pairs: DataFrame, prefix: int = 4) -> DataFrame:
+def ranked(scored_pairs: DataFrame) -> DataFrame:
     """Add ``position``: best score first, then ids, per document.
 
-    A document may hold very many pairs, so positions are counted in two steps: inside
-    (document, score, leading characters of the first id), and by the sizes of the groups before.
+    A document may hold very many pairs, so the rows are sorted over ranges and stored; a position is the row's
+    place in its range plus the rows of the document in the ranges before, of which there is one count per range.
     """
-    group = ["document_id", "score", "id_prefix"]
-    rows = scored_pairs.withColumn("id_prefix", F.substring("claim_a_id", 1, prefix))
-    inside = Window.partitionBy(*group).orderBy("claim_a_id", "claim_b_id")
-    before = Window.partitionBy("document_id").orderBy(F.desc("score"), "id_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-               .withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"))
-    placed = rows.withColumn("place", F.row_number().over(inside)).join(offsets, group)
-    return placed.withColumn("position", F.col("place") + F.col("earlier")).drop("place", "earlier", "id_prefix")
+    columns = scored_pairs.columns
+    in_order = ["document_id", F.desc("score"), "claim_a_id", "claim_b_id"]
+    placed = materialize(scored_pairs.repartitionByRange(*in_order).sortWithinPartitions(*in_order)
+                         .withColumn("range", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()), "ranked")
+    before = Window.partitionBy("document_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = (placed.groupBy("document_id", "range").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+              .withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"))
+    return (placed.join(ranges, ["document_id", "range"])
+            .withColumn("position", F.col("row") - F.col("first") + F.col("earlier") + 1).select(*columns, "position"))

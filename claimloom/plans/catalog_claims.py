@@ -299,7 +299,7 @@ def scores(spark, sf):
   row_number() over (partition by document_id order by score desc, claim_a_id, claim_b_id) as position from verdicts where score >= 0.65""")
 def ranked(spark, sf):
     df = pairs.above_threshold(pairs.scored(candidates(spark, sf)))
-    return pairs.ranked(df.select(*pairs.pair_ids(df), "score"), prefix=9)
+    return pairs.ranked(df.select(*pairs.pair_ids(df), "score"))
 
 
 @add("pai_17_threshold_counts", f"""with {sql.JUDGED} select document_id, count(*) filter (score >= 0.65) as kept,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,11 +22,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 def work_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir`` (the cluster's shared storage).
 
-    Only when the session names none (tests, laptops) a temporary folder is set as
-    the checkpoint folder of this session.
+    Only on one machine, and only when the session names none (tests, laptops), a temporary folder stands in; on several machines
+    a folder of one of them would lose rows, so that is an error.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         shared = _local_dirs.setdefault(app, tempfile.mkdtemp(prefix="spark-"))
     return f"{shared.rstrip('/')}/claimloom-{uuid.uuid4().hex}"

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import clean_text, is_blank
-from claimloom.functions.units import literal_map
 
 # --- fixed values -----------------------------------------------------------
 REGISTRY_VERSION = 1
@@ -27,8 +26,6 @@ METRIC_ALIASES = {
 CANONICAL_NAME = r"^[a-z][a-z0-9]*(?:_[a-z0-9]+)*$"
 # ---------------------------------------------------------------------------
 
-LITERAL_LIMIT = 500
-
 
 def read_metric_registry(path: str) -> dict[str, list[str]]:
     """Read a registry file; repeated keys, other versions and other fields are errors."""
@@ -54,34 +51,31 @@ def read_metric_registry(path: str) -> dict[str, list[str]]:
 def registry_rows(spark: SparkSession, metrics: dict[str, list[str]] | None = None) -> DataFrame:
     """One row per (canonical, alias), the canonical name itself included, with the cleaned key."""
     metrics = METRIC_ALIASES if metrics is None else metrics
-    rows = [(name, alias) for name, aliases in metrics.items() for alias in [name, *aliases]]
-    return spark.createDataFrame(rows, "canonical string, alias string").withColumn("alias_key", clean_text(F.col("alias")))
+    rows = [F.struct(F.lit(name).alias("canonical"), F.lit(alias).alias("alias")) for name, aliases in metrics.items() for alias in [name, *aliases]]
+    listed = spark.range(1).select(F.inline(F.array(*rows)))  # constants, whose size the optimizer knows
+    return listed.withColumn("alias_key", clean_text(F.col("alias")))
+
+
+_checked: set[str] = set()
 
 
 def alias_lookup(df: DataFrame, key: str, output: str, metrics: dict[str, list[str]] | None = None) -> DataFrame:
     """Add ``output`` = canonical metric of the cleaned text in ``key`` (null when unknown).
 
-    A registry is a configuration file, so its size is known here: a small one becomes a
-    constant map inside the projection, a large one is joined.
+    A registry in which two metrics claim one alias is refused.  The rows are joined; how is Spark's choice by their size.
     """
     metrics = METRIC_ALIASES if metrics is None else metrics
     rows = registry_rows(df.sparkSession, metrics)
-    if sum(len(a) + 1 for a in metrics.values()) <= LITERAL_LIMIT:
-        # constants only: the cleaned keys are folded once by the optimizer
-        pairs = {alias: name for name, aliases in metrics.items() for alias in [name.replace("_", " "), *aliases]}
-        cleaned = {_clean_constant(alias): name for alias, name in pairs.items()}
-        return df.withColumn(output, F.try_element_at(literal_map(cleaned), F.col(key)))
+    version = json.dumps(metrics, sort_keys=True)
+    if version not in _checked:
+        conflicts = audit_registry(rows).where("rule = 'conflicting_alias'").select("subject").limit(5).collect()
+        if conflicts:
+            raise ValueError(f"aliases claimed by more than one metric: {', '.join(r.subject for r in conflicts)}")
+        _checked.add(version)
     lookup = rows.select(F.col("alias_key").alias(key), F.col("canonical").alias(output)).distinct()
     return df.join(lookup, key, "left")
 
 
-def _clean_constant(alias: str) -> str:
-    import re
-    import unicodedata
-    text = re.sub(r"[_\s]+", " ", unicodedata.normalize("NFC", alias).lower())
-    return re.sub(r"(?<=\w)[‐‑–—-](?=\w)", " ", text).strip(" .,:;\t\n\r")
-
-
 def audit_registry(rows: DataFrame) -> DataFrame:
     """Rules broken by registry rows (canonical, alias, alias_key): one row per violation."""
     names = rows.select("canonical").distinct().where(~F.col("canonical").rlike(CANONICAL_NAME)).select(

@@ -2,11 +2,12 @@ import itertools
 import random
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from claimloom.operators import normalize, pairs, serving, verdicts
 from claimloom.plans import catalog
-from claimloom.sources import derived
+from claimloom.sources import derived, registry, responses
 
 SCHEMA = ("document_id string, chunk_id string, claim_id string, entity_raw string, metric_raw string, value_text string, "
           "value_numeric decimal(24,8), unit string, period string, scope string, qualifier string, claim_text string, "
@@ -130,7 +131,7 @@ def test_counts_without_pairs_equal_listed_pairs(spark):
 def test_ranking_counts_positions_in_two_steps(spark):
     rows = [("d", 0.5 + (i % 3) / 10, f"{i * 7 % 50:04d}", f"z{i}") for i in range(50)]
     df = spark.createDataFrame(rows, "document_id string, score double, claim_a_id string, claim_b_id string")
-    got = {(r.claim_a_id, r.claim_b_id): r.position for r in pairs.ranked(df, prefix=3).collect()}
+    got = {(r.claim_a_id, r.claim_b_id): r.position for r in pairs.ranked(df).collect()}
     want = {(a, b): n + 1 for n, (_, _, a, b) in enumerate(sorted(rows, key=lambda r: (-r[1], r[2], r[3])))}
     assert got == want
 
@@ -151,16 +152,51 @@ def test_plans_have_no_cartesian_product(spark, sf):
 
 def test_normalization_stays_in_the_jvm(spark, sf):
     plan = normalize.accepted(normalize.normalize_claims(derived.order_claims(spark, sf)))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Join" not in plan and plan.count("Exchange") <= 1
+    assert "Python" not in plan and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 0
 
 
 def test_answers(spark):
-    queue = spark.createDataFrame([("d", "p1", "x"), ("d", "p2", "x"), ("d", "p3", "x")], "document_id string, claim_a_id string, claim_b_id string")
+    """Pairs without evidence are settled whatever was answered; the others need one valid answer."""
+    queue = spark.createDataFrame([("d", "p1", "x", None), ("d", "p2", "x", None), ("d", "p3", "x", None), ("d", "p4", "x", "no source"), ("d", "p5", "x", "no source")],
+                                  "document_id string, claim_a_id string, claim_b_id string, insufficient_reason string")
     given = [("p1/x", "CONSISTENT", "fine", 0.7), ("p2/x", "CONSISTENT", "a", 0.7), ("p2/x", "CONSISTENT", "b", 0.7),
-             ("p9/x", "CONSISTENT", "c", 0.5), ("p3/x", "CONSISTENT", "d", 1.5)]
+             ("p9/x", "CONSISTENT", "c", 0.5), ("p3/x", "CONSISTENT", "d", 1.5), ("p4/x", "CONSISTENT", "e", 0.9)]
     answers = spark.createDataFrame([("d", *g) for g in given], "document_id string, candidate_id string, classification string, explanation string, confidence double")
-    found = {r.claim_a_id: r.intake for r in verdicts.take_answers(queue, answers).collect()}
-    assert found == {"p1": "VERIFIED", "p2": "VERIFICATION_FAILED", "p3": "VERIFICATION_FAILED"}
+    intake = verdicts.take_answers(queue, answers)
+    assert {r.claim_a_id: r.intake for r in intake.collect()} == {
+        "p1": "VERIFIED", "p2": "VERIFICATION_FAILED", "p3": "VERIFICATION_FAILED", "p4": "VERIFIED", "p5": "VERIFIED"}
+    assert sorted(r.item_id for r in verdicts.insufficient_errors(intake).collect()) == ["p4/x", "p5/x"]
+    rules = queue.selectExpr("document_id", "claim_a_id", "claim_b_id", "'UNCERTAIN' as classification", "'?' as explanation", "0.4 as confidence", "'contextual_difference' as status", "'rules' as source")
+    final = {r.claim_a_id: (r.classification, r.status, float(r.confidence)) for r in verdicts.merge_verdicts(rules, rules.limit(0), intake).collect()}
+    assert final["p4"] == final["p5"] == ("INSUFFICIENT_CONTEXT", "needs_review", 0.0)
+    assert final["p1"][:2] == ("CONSISTENT", "dismissed") and final["p2"][0] == "UNCERTAIN"
+    more = rules.unionByName(rules.limit(1).withColumn("claim_a_id", F.lit("p7")))  # undecided, but beyond the queue
+    counts = verdicts.checkpoint_counts(verdicts.checkpoint_state(more, intake)).first()
+    assert (counts.candidates_verified, counts.candidates_failed, counts.candidates_pending) == (4, 2, 0)
+
+
+def test_strict_verdict_responses(spark):
+    one = '{"candidate_id":"a","classification":"CONSISTENT","explanation":"e","confidence":%s}'
+    cases = {'{"results":[' + one % "0.5" + "]}": None, '{"results":[],"results":[]}': "duplicate_field", '{"results":[' + one % "NaN" + "]}": "non_finite_number",
+             '{"results":[' + one % "1e999" + "]}": "non_finite_number", '{"results":[' + one % '"0.5"' + "]}": "wrong_type", '{"results":[' + one % '1,"more":1' + "]}": "unexpected_fields",
+             '{"results":[{"candidate_id":"a"}]}': "unexpected_fields", "[]": "unexpected_fields", "{": "malformed_json"}
+    rows = responses.read_verdict_responses(spark.createDataFrame([(c,) for c in cases], "response string")).collect()
+    assert {r.response: r.error for r in rows} == cases and rows[0].results[0].confidence == 0.5
+
+
+def test_conflicting_registry_is_refused(spark):
+    df = spark.createDataFrame([("sales",)], "k string")
+    assert registry.alias_lookup(df, "k", "m", {"revenue": ["sales"], "cost": ["costs"]}).first().m == "revenue"
+    for size in (0, 600):  # the size of a registry changes nothing
+        with pytest.raises(ValueError, match="more than one metric"):
+            registry.alias_lookup(df, "k", "m", {"revenue": ["sales"], "cost": ["Sales", *[f"a{i}" for i in range(size)]]})
+
+
+def test_positions_without_common_prefixes(spark):
+    rows = [("d", f"claim-with-one-prefix-{i:05d}", "z", round((i % 7) / 10, 1)) for i in range(500)]
+    df = spark.createDataFrame(rows, "document_id string, claim_a_id string, claim_b_id string, score double")
+    got = [r.claim_a_id for r in pairs.ranked(df).orderBy("position").collect()]
+    assert got == [r[1] for r in sorted(rows, key=lambda r: (-r[3], r[1]))]
 
 
 def test_visible_contradictions_need_equal_names(spark):

@@ -78,6 +78,53 @@ all_chunks as (select document_id, page_batch, kind, chunk, string_agg(text, chr
   min(page_number)::bigint as page_start, max(page_number)::bigint as page_end, count(*) as n_blocks from spans group by all)"""
 
 
+_SPACE = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_LINE_PIECES = f"{LINES}, texts as (select *, sha256(document_id || ':#/lines/' || pos || ':[' || page_number || ']') as block_id from line_blocks)"
+_TURN_PIECES = f"""texts as (select *, (page_number - 1) // 25 as page_batch, sha256('conv-' || conv_id || ':#/turns/' || pos || ':[' || page_number || ']') as block_id from (
+  select 'v' || lpad(cast(conv_id as varchar), 10, '0') as document_id, conv_id, turn as pos, turn // 5 + 1 as page_number, text from conversations where regexp_matches(text, '[^\\s]')))"""
+
+
+def _pieces(texts: str) -> str:
+    """The splitter as a recursion over the cuts of a run: every batch of headless texts is one run."""
+    step = """select *, case when rest <= 4000 then size else coalesce(list_sort(list_transform(near, lambda x: {'d': abs(x - wish), 'x': x}))[1].x, b + least(4000, wish - b)) end as e from (
+    select *, case when len(list_filter(ends, lambda x: x between low and high)) > 0 then list_filter(ends, lambda x: x between low and high)
+      when len(list_filter(sentences, lambda x: x between low and high)) > 0 then list_filter(sentences, lambda x: x between low and high)
+      else list_filter(starts, lambda x: x between low and high) end as near from (
+    select *, b + shortest as low, b + least(4000, rest + 320 - shortest) as high, b + ceil((rest + (n_pieces - 1) * 320) / n_pieces)::bigint as wish from (
+    select *, least(2400, (rest + 320) // 2) as shortest, greatest(2, ceil((rest - 320) / 3680.0), round_even((rest - 320) / 2880.0, 0)) as n_pieces from (
+    select *, size - b as rest from ({0})))))"""
+    columns = "document_id, page_batch, size, ends, starts, stops, sentences"
+    first = f"select {columns}, 1 as n, 0::bigint as b, 0::bigint as ov from marked"
+    after = f"""select {columns}, n + 1 as n, coalesce(case when z[1] < e then least(z[2], e) end, e) as b, e - coalesce(case when z[1] < e then least(z[2], e) end, e) as ov from (
+      select *, list_filter(list_zip(starts, stops), lambda x: x[2] > greatest(b + 1, e - 320))[1] as z from cuts where e < size)"""
+    return f"""{texts},
+placed as (select *, coalesce(sum(length(text) + 2) over (partition by document_id, page_batch order by pos rows between unbounded preceding and 1 preceding), 0)::bigint as start_at from texts),
+whole as (select document_id, page_batch, string_agg(text, chr(10) || chr(10) order by pos) as text, list(start_at + length(text) order by pos) as ends from placed group by all),
+tokens as (select document_id, page_batch, unnest(regexp_split_to_array(text, '{_SPACE}+')) as token, unnest(list_concat(regexp_extract_all(text, '{_SPACE}+'), [''])) as gap,
+  generate_subscripts(regexp_split_to_array(text, '{_SPACE}+'), 1) as i from whole),
+gaps as (select *, sum(length(token) + length(gap)) over (partition by document_id, page_batch order by i)::bigint as stop from tokens),
+marked as (select w.document_id, w.page_batch, length(any_value(w.text))::bigint as size, any_value(w.ends) as ends, coalesce(list(stop - length(gap) order by i) filter (gap <> ''), []) as starts,
+  coalesce(list(stop order by i) filter (gap <> ''), []) as stops, coalesce(list(stop - length(gap) order by i) filter (gap <> '' and regexp_matches(token, '[.!?]["'')\\]]*$')), []) as sentences
+  from whole w join gaps g on g.document_id = w.document_id and g.page_batch = w.page_batch group by w.document_id, w.page_batch),
+cuts as (select {columns}, n, b, ov, e from ({step.replace("{0}", first)}) union all select {columns}, n, b, ov, e from ({step.replace("{0}", after)})),
+raw as (select c.document_id, c.page_batch, c.n, c.b, c.e, c.ov, substr(w.text, c.b + 1, c.e - c.b) as t from cuts c join whole w on w.document_id = c.document_id and w.page_batch = c.page_batch),
+cut_texts as (select *, length(t) - length(regexp_replace(t, '^{_SPACE}+', '')) as lead, length(t) - length(regexp_replace(t, '{_SPACE}+$', '')) as tail from raw where regexp_matches(t, '[^\\s]')),
+contents as (select *, b + lead as low, e - tail as high, substr(t, lead + 1, length(t) - lead - tail) as content from cut_texts),
+met as (select c.document_id, c.page_batch, c.n, p.pos, p.page_number, p.block_id, p.text as block_text, greatest(c.low, p.start_at) - p.start_at as char_start, least(c.high, p.start_at + length(p.text)) - p.start_at as char_end,
+  greatest(c.low, p.start_at) - c.low as chunk_char_start, least(c.high, p.start_at + length(p.text)) - c.low as chunk_char_end
+  from contents c join placed p on p.document_id = c.document_id and p.page_batch = c.page_batch and greatest(c.low, p.start_at) < least(c.high, p.start_at + length(p.text))),
+pages as (select document_id, page_batch, n, min(page_number)::bigint as page_start, max(page_number)::bigint as page_end, list_sort(list_distinct(list(page_number))) as pages,
+  list({{'block_id': block_id, 'char_start': char_start, 'char_end': char_end, 'chunk_char_start': chunk_char_start, 'chunk_char_end': chunk_char_end}} order by pos) as spans from met group by all),
+split as (select c.document_id, c.page_batch::bigint as page_batch, row_number() over (partition by c.document_id, c.page_batch order by c.n) as seq, p.page_start, p.page_end, c.content, c.n,
+  sha256(to_json({{'section': null, 'spans': p.spans, 'text': c.content, 'pages': p.pages}})::varchar) as chunk_id,
+  ceil(length(c.content) / 4.0)::bigint as estimated_token_count, greatest(0, c.ov - c.lead)::bigint as overlap_characters, sha256(c.content) as content_hash
+  from contents c join pages p on p.document_id = c.document_id and p.page_batch = c.page_batch and p.n = c.n)"""
+
+
+SPLIT_LINES = f"with recursive {_pieces(_LINE_PIECES)}"
+SPLIT_TURNS = f"with recursive {_pieces(_TURN_PIECES)}"
+
+
 # --- chunks -------------------------------------------------------------------------------------
 
 @add("chk_01_token_estimates", "select doc_id, ceil(length(text) / 4.0)::bigint as tokens from documents")
@@ -103,7 +150,7 @@ def sections(spark, sf):
     return chunks.sectioned(rows, chunks.bare_tables(rows)).select("document_id", "block_id", "run", "section")
 
 
-@add("chk_04_document_chunks")
+@add("chk_04_document_chunks", f"{SPLIT_LINES} select document_id, page_batch, seq, chunk_id, page_start, page_end, estimated_token_count, overlap_characters, content_hash from split")
 def document_chunks(spark, sf):
     """Every chunk of the plain-text documents with its cut range and size."""
     return line_chunks(spark, sf).select("document_id", "page_batch", "seq", "chunk_id", "page_start", "page_end",
@@ -116,7 +163,7 @@ def page_chunks(spark, sf):
     return chunks.document_chunks(page_blocks(spark, sf)).select("document_id", "seq", "chunk_id", "section", "estimated_token_count")
 
 
-@add("chk_04_conversation_chunks")
+@add("chk_04_conversation_chunks", f"{SPLIT_TURNS} select document_id, seq, chunk_id, estimated_token_count, overlap_characters from split")
 def conversation_chunks(spark, sf):
     return chunks.document_chunks(turn_blocks(spark, sf)).select("document_id", "seq", "chunk_id", "estimated_token_count", "overlap_characters")
 
@@ -126,7 +173,7 @@ def sentence_boundaries(spark, sf):
     return derived.table(spark, sf, "documents").select("doc_id", chunks.sentence_boundaries(F.col("text")).alias("boundaries"))
 
 
-@add("chk_06_trimmed_chunks")
+@add("chk_06_trimmed_chunks", f"{SPLIT_LINES} select document_id, count(*) as chunks, sum(length(content))::bigint as characters, 0::bigint as untrimmed from split group by 1")
 def trimmed_chunks(spark, sf):
     """Chunk texts never start or end with white space; per document counts of chunks and characters."""
     c = line_chunks(spark, sf)
@@ -144,7 +191,9 @@ def source_spans(spark, sf):
 
 
 
-@add("chk_07_spans_of_cut_runs")
+@add("chk_07_spans_of_cut_runs", f"""{SPLIT_LINES} select s.document_id, s.chunk_id, m.block_id, m.char_start, m.char_end,
+  substr(s.content, m.chunk_char_start + 1, m.chunk_char_end - m.chunk_char_start) = substr(m.block_text, m.char_start + 1, m.char_end - m.char_start) as equal_text
+from split s join met m on m.document_id = s.document_id and m.page_batch = s.page_batch and m.n = s.n""")
 def spans_of_cut_runs(spark, sf):
     """Spans of every document chunk, and whether the chunk text equals the block text at the span."""
     c = line_chunks(spark, sf).select("document_id", "page_batch", "chunk_id", F.col("text").alias("chunk_text"), F.explode("spans").alias("s"))
@@ -161,7 +210,7 @@ def pages_and_types(spark, sf):
 
 
 
-@add("chk_09_chunk_ids")
+@add("chk_09_chunk_ids", f"{SPLIT_LINES} select document_id, chunk_id, count(*) as chunks, max(overlap_characters) as overlap from split group by 1, 2")
 def chunk_ids(spark, sf):
     """Chunk ids with how many chunks share them: equal ids only for equal content and place."""
     return line_chunks(spark, sf).groupBy("document_id", "chunk_id").agg(F.count(F.lit(1)).alias("chunks"), F.max("overlap_characters").alias("overlap"))
@@ -181,7 +230,9 @@ def size_distribution(spark, sf):
 
 
 
-@add("chk_11_document_sizes")
+@add("chk_11_document_sizes", f"""{SPLIT_LINES} select document_id, count(*) as total_chunks, count(*) as prose_chunks, 0::bigint as table_chunks, min(estimated_token_count) as min_tokens, max(estimated_token_count) as max_tokens,
+  round(avg(estimated_token_count), 1) as mean_tokens, median(estimated_token_count) as median_tokens, count(*) filter (estimated_token_count < 600) as under_600,
+  count(*) filter (estimated_token_count between 600 and 1000) as from_600_to_1000, count(*) filter (estimated_token_count > 1000) as over_1000 from split group by 1""")
 def document_sizes(spark, sf):
     return chunks.size_distribution(line_chunks(spark, sf))
 

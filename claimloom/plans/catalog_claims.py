@@ -19,14 +19,13 @@ A, B = pairs.A, pairs.B
 
 @add("nrm_01_clean_text", f"""
 with claims as ({sql.CLAIMS}) select claim_id, {sql.clean('entity_raw')} as entity_clean, {sql.clean('unit')} as unit_clean from claims
-union all select 't' || cast(doc_id as varchar), {sql.clean("regexp_replace(text, '[^ -~]+', ' ', 'g')")}, lang from documents""")
+union all select 't' || cast(doc_id as varchar), {sql.clean("text")}, lang from documents""")
 def clean_text(spark, sf):
     claims = derived.order_claims(spark, sf).select(
         "claim_id", text.clean_text(F.col("entity_raw")).alias("entity_clean"), text.clean_text(F.col("unit")).alias("unit_clean"))
-    ascii_text = F.regexp_replace("text", "[^ -~]+", " ")  # the check's \w and \s are ASCII only
     documents = derived.table(spark, sf, "documents").select(
         F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("claim_id"),
-        text.clean_text(ascii_text).alias("entity_clean"), F.col("lang").alias("unit_clean"))
+        text.clean_text(F.col("text")).alias("entity_clean"), F.col("lang").alias("unit_clean"))
     return claims.unionByName(documents)
 
 

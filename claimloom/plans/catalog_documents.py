@@ -183,9 +183,9 @@ def scanned_files(spark, sf):
 
 @add("src_02_intake")
 def intake_check(spark, sf):
-    """The intake rules on the given files (suffix .parquet, signature PAR1, at most 1 MB)."""
+    """The intake rules on the given files, by their own suffix and signature."""
     files = intake.scan(spark, sf)
-    problem = intake.intake_problem(".parquet", 1_000_000, b"PAR1")
+    problem = intake.intake_problem(".parquet", signature=b"PAR1")
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), problem.alias("problem"))
 
 

@@ -327,25 +327,29 @@ def _report_facts(spark, sf):
     return extract.facts(extract.sentences(extract.evidence_segments(report_chunks(spark, sf)).where("page is not null")))
 
 
-_PARAGRAPHS = f"""{BLOCKS}, s as (select document_id, block_id, trim(unnest(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'))) as sentence
-  from blocks where block_type = 'paragraph')"""
+_SENTENCES = f"""{BLOCKS}, s as (select document_id, block_id, false as is_table, trim(unnest(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'))) as sentence
+    from blocks where block_type <> 'table'
+  union all select document_id, block_id, true, line from (select document_id, block_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n
+    from blocks where block_type = 'table') where n > 2)"""
 
 
-@add("ext_09_entities", f"""with {_PARAGRAPHS}, e as (select *, trim(regexp_split_to_array(sentence, '(?i)\\b(?:has|had|reported|reports|recorded|revenue|sales|net profit|profit|employees|headcount)\\b')[1], ' |:,-') as subject from s)
-select document_id, block_id, sentence, case when subject <> '' and len(regexp_extract_all(subject, '\\S+')) <= 6 then subject else 'document subject' end as entity_raw from e""")
-def entities(spark, sf):
-    return _paragraph_sentences(spark, sf).withColumn("entity_raw", extract.entity_of(F.col("sentence"), F.lit(False)))
+def _sentences(spark, sf):
+    """Sentences of every report block, and every table row."""
+    rows = report_blocks(spark, sf).select("document_id", "block_id", F.col("text").alias("segment_text"), F.lit(1).alias("page"))
+    return extract.sentences(rows)
 
 
-def _paragraph_sentences(spark, sf):
-    rows = report_blocks(spark, sf).where("block_type = 'paragraph'").select("document_id", "block_id", F.col("text").alias("segment_text"))
-    return extract.sentences(rows).select("document_id", "block_id", "sentence")
+@add("ext_09_entities", f"""with {_SENTENCES}, e as (select *, trim(regexp_split_to_array(sentence, '(?i)\\b(?:has|had|reported|reports|recorded|revenue|sales|net profit|profit|employees|headcount)\\b')[1], ' |:,-') as subject from s)
+select document_id, block_id, sentence, case when not is_table and subject <> '' and len(regexp_extract_all(subject, '\\S+')) <= 6 then subject else 'document subject' end as entity_raw from e""")
+def entities(spark, sf):
+    rows = _sentences(spark, sf)
+    return rows.select("document_id", "block_id", "sentence", extract.entity_of(F.col("sentence"), F.col("is_table")).alias("entity_raw"))
 
 
-@add("ext_10_scopes", f"""with {_PARAGRAPHS} select document_id, block_id, sentence, nullif(replace(lower(regexp_extract(sentence,
+@add("ext_10_scopes", f"""with {_SENTENCES} select document_id, block_id, sentence, nullif(replace(lower(regexp_extract(sentence,
   '(?i)\\b(global(?:ly)?|domestic|international|consolidated|standalone)\\b', 1)), 'globally', 'global'), '') as scope from s""")
 def scopes(spark, sf):
-    return _paragraph_sentences(spark, sf).withColumn("scope", extract.scope_of(F.col("sentence")))
+    return _sentences(spark, sf).select("document_id", "block_id", "sentence", extract.scope_of(F.col("sentence")).alias("scope"))
 
 
 @add("ext_11_table_columns", f"""with {BLOCKS}, lines as (select *, string_split(text, chr(10)) as l from blocks where block_type = 'table')
@@ -364,14 +368,13 @@ def fallback_metrics(spark, sf):
     return facts.select("document_id", "chunk_id", "value_start", "metric_raw", "value_text")
 
 
-@add("ext_13_units_and_values", f"""with {_PARAGRAPHS}, n as (select document_id, block_id, sentence, unnest(regexp_extract_all(sentence, '\\$[0-9,]+ million')) as value_text,
+@add("ext_13_units_and_values", f"""with {_SENTENCES}, n as (select document_id, block_id, sentence, unnest(regexp_extract_all(sentence, '\\$[0-9,]+ million')) as value_text,
   len(list_distinct(regexp_extract_all(sentence, '\\b(?:19|20)\\d{{2}}\\b'))) as years, regexp_extract(sentence, '\\b(?:19|20)\\d{{2}}\\b') as year from s)
 select document_id, block_id, value_text, 'USD million' as unit, cast(replace(regexp_extract(value_text, '[0-9,]+'), ',', '') as double) as value_numeric,
   case when years = 1 then year end as period, 0.6::double as confidence from n""")
 def units_and_values(spark, sf):
-    """Money values of the report paragraphs: unit, number, period and confidence."""
-    rows = report_blocks(spark, sf).where("block_type = 'paragraph'").select("document_id", "block_id", F.col("text").alias("segment_text"), F.lit(1).alias("page"))
-    return extract.facts(extract.sentences(rows)).where("unit = 'USD million'").select(
+    """Money values of all report sentences: unit, number, period and confidence."""
+    return extract.facts(_sentences(spark, sf)).where("unit = 'USD million'").select(
         "document_id", "block_id", "value_text", "unit", "value_numeric", "period", "confidence")
 
 

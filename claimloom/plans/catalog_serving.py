@@ -162,13 +162,13 @@ def errors_on_resume(spark, sf):
 
 
 @add("srv_09_failed_documents", f"""with r as ({sql.REGISTRY}), e as (select document_id, count(*) as errors from ({sql.ERRORS}) x group by 1),
-c as (select 'u' || lpad(cast(o_custkey as varchar), 8, '0') as document_id, count(*) as claims from orders where o_orderstatus = 'F' and o_totalprice > 450000 group by 1)
+c as (select 'u' || lpad(cast(o_custkey as varchar), 8, '0') as document_id, count(*) as claims from orders group by 1)
 select document_id, coalesce(errors, 0) as errors, coalesce(claims, 0) as claims,
   case when status = 'CANCELLED' or coalesce(errors, 0) > 0 and coalesce(claims, 0) = 0 then 'FAILED' else 'CONTINUE' end as outcome
 from r left join e using (document_id) left join c using (document_id)""")
 def failed_documents(spark, sf):
     documents = derived.documents_registry(spark, sf).withColumn("blocked", F.col("status") == "CANCELLED")
-    claims = derived.table(spark, sf, "orders").where("o_orderstatus = 'F' and o_totalprice > 450000").select(
+    claims = derived.table(spark, sf, "orders").select(
         F.concat(F.lit("u"), F.lpad(F.col("o_custkey").cast("string"), 8, "0")).alias("document_id"))
     return serving.failed_documents(documents, derived.document_errors(spark, sf), claims).select(
         "document_id", "errors", "claims", "outcome")

@@ -15,7 +15,7 @@ ERRORS = derived.duckdb_view(derived.errors_sql, "events")
 
 def clean(x: str) -> str:
     """Cleaned text; the dash step runs twice because matches may share a letter."""
-    dash = r"'(\w)[‐‑–—-](\w)', '\1 \2', 'g'"
+    dash = r"'([\pL\pM\pN_])[‐‑–—-]([\pL\pM\pN_])', '\1 \2', 'g'"
     return (f"trim(regexp_replace(regexp_replace(regexp_replace(lower(nfc_normalize({x})), '[_\\s]+', ' ', 'g'), "
             f"{dash}), {dash}), ' .,:;')")
 

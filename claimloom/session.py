@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -19,6 +21,13 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, for clusters on which it is not installed."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-"), "claimloom"), "zip", os.path.dirname(root), os.path.basename(root))
+    spark.sparkContext.addPyFile(archive)
+
+
 def work_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir`` (the cluster's shared storage).
 

@@ -82,7 +82,7 @@ def _rarest(rows: DataFrame, keep) -> DataFrame:
     lists = counted.groupBy("node").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
     count = keep(F.col("size"), F.size("shared"))
     return (lists.withColumn("n", count.cast("int")).where("n > 0")
-            .select("node", "size", F.size("shared").alias("common"), F.transform(F.slice("shared", F.lit(1), F.col("n")), lambda x: x["token"]).alias("tokens")))
+            .select("node", "size", F.size("shared").alias("common"), F.transform(F.slice("shared", F.lit(1), F.greatest("n", F.lit(0))), lambda x: x["token"]).alias("tokens")))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -125,12 +125,13 @@ def links(docs: DataFrame, prefixes: DataFrame, n: int, percent: int) -> DataFra
     whole = sets.join(dear, "node").select("node", "size", F.explode("set").alias("token"))
     # unique elements come first: of the size - m + 1 rarest, size - shared are unique
     long_lists = _rarest(whole, lambda size, shared: shared - least_overlap(size) + 1)
-    members = materialize(long_lists.select("node", "size", "common", F.explode("tokens").alias("token")), "members")
-    # overlap o >= percent / (100 + percent) * (sizes together), and o is at most what each shares with any other
+    members = materialize(long_lists.select("node", "size", "common", F.posexplode("tokens").alias("at", "token"))
+                          .withColumn("after", F.col("common") - F.col("at")), "members")  # elements from this one on
+    # the first common element of two sets has all others behind it: o is at most what either has from there on
     can = lambda p, q, c, d: ((100 + percent) * F.least(c, d) >= percent * (p + q)) & fits(p, q)
-    centre = (members.groupBy("token").agg(F.min(F.struct((1 - F.col("common") / F.col("size")).alias("own"), "node", "size", "common")).alias("c"))
-              .select("token", F.col("c.node").alias("hub"), F.col("c.size").alias("hub_size"), F.col("c.common").alias("hub_common")))
-    star = (members.join(centre, "token").where((F.col("node") != F.col("hub")) & can(F.col("size"), F.col("hub_size"), F.col("common"), F.col("hub_common")))
+    centre = (members.groupBy("token").agg(F.min(F.struct((1 - F.col("common") / F.col("size")).alias("own"), "node", "size", "after")).alias("c"))
+              .select("token", F.col("c.node").alias("hub"), F.col("c.size").alias("hub_size"), F.col("c.after").alias("hub_after")))
+    star = (members.join(centre, "token").where((F.col("node") != F.col("hub")) & can(F.col("size"), F.col("hub_size"), F.col("after"), F.col("hub_after")))
             .select(*_ordered("node", "hub")).distinct())
     edges = materialize(edges.union(verified(star, sets, percent)), "edges")
 
@@ -138,9 +139,9 @@ def links(docs: DataFrame, prefixes: DataFrame, n: int, percent: int) -> DataFra
     placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
     open_ = materialize(placed.join(mixed, "token"), "open")
-    other = open_.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "common", "label")])
+    other = open_.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "after", "label")])
     rest = (open_.join(other, "token").where((F.col("node") < F.col("node_b")) & (F.col("label") != F.col("label_b"))
-                                             & can(F.col("size"), F.col("size_b"), F.col("common"), F.col("common_b")))
+                                             & can(F.col("size"), F.col("size_b"), F.col("after"), F.col("after_b")))
             .select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct())
     return materialize(edges.union(verified(rest, sets, percent)), "edges")
 

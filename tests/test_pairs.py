@@ -152,7 +152,7 @@ def test_plans_have_no_cartesian_product(spark, sf):
 
 def test_normalization_stays_in_the_jvm(spark, sf):
     plan = normalize.accepted(normalize.normalize_claims(derived.order_claims(spark, sf)))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 0
+    assert "Python" not in plan and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") <= 1  # the registry, made distinct
 
 
 def test_answers(spark):

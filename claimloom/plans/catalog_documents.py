@@ -181,12 +181,14 @@ def scanned_files(spark, sf):
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", intake.fingerprint(F.col("content")).alias("sha256"))
 
 
-@add("src_02_intake")
+@add("src_02_intake", """select doc_id, case when lang = 'de' then 'wrong_suffix' when octet_length(encode(text)) > 52428800 then 'too_large'
+  when not regexp_matches(substr(hex(encode(text)), 1, 2048), '^(?:..)*?7468652E') then 'bad_signature' end as problem from documents""")
 def intake_check(spark, sf):
-    """The intake rules on the given files, by their own suffix and signature."""
-    files = intake.scan(spark, sf)
-    problem = intake.intake_problem(".parquet", signature=b"PAR1")
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), problem.alias("problem"))
+    """Every document text as a file: German ones have another suffix, and the signature is the bytes ``the.``."""
+    files = derived.table(spark, sf, "documents").select(
+        "doc_id", F.concat(F.col("doc_id").cast("string"), F.when(F.col("lang") == "de", ".txt").otherwise(".pdf")).alias("path"),
+        F.octet_length("text").cast("bigint").alias("length"), F.col("text").cast("binary").alias("content"))
+    return files.select("doc_id", intake.intake_problem(signature=b"the.").alias("problem"))
 
 
 @add("src_03_fingerprints", "select doc_id, sha256(text) as source_sha256 from documents")

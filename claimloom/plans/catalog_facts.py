@@ -68,13 +68,13 @@ numbered as (select *, sum(case when previous_type is null or block_type = 'tabl
     over (partition by document_id, page_batch order by idx rows between unbounded preceding and current row) as run,
   case when block_type = 'heading' then text else coalesce(own_section, section_before) end as run_section from marked),
 taken as (select document_id, page_batch, run - 1 as run from numbered where block_type = 'table' and previous_type = 'heading' and section is not distinct from section_before),
-chunk_blocks as (select n.document_id, n.page_batch, 'prose' as kind, n.run::varchar as chunk, n.idx as place, n.block_id, n.text, n.page_number, n.run_section as section
+chunk_blocks as (select n.document_id, n.page_batch, 'prose' as kind, n.run::varchar as chunk, n.run, n.idx as place, n.block_id, n.text, n.page_number, n.run_section as section
     from numbered n where n.block_type <> 'table' and not exists (select 1 from taken t where t.document_id = n.document_id and t.page_batch = n.page_batch and t.run = n.run)
-  union all select f.document_id, f.page_batch, 'table', f.table_id, f.place, f.block_id, o.text, o.page_number, t.run_section
+  union all select f.document_id, f.page_batch, 'table', f.table_id, t.run, f.place, f.block_id, o.text, o.page_number, t.run_section
     from firsts f join ordered o on o.document_id = f.document_id and o.page_batch = f.page_batch and o.block_id = f.block_id
     join numbered t on t.document_id = f.document_id and t.page_batch = f.page_batch and t.block_id = f.table_id),
 spans as (select *, coalesce(sum(length(text) + 2) over (partition by document_id, page_batch, kind, chunk order by place rows between unbounded preceding and 1 preceding), 0)::bigint as start_at from chunk_blocks),
-all_chunks as (select document_id, page_batch, kind, chunk, string_agg(text, chr(10) || chr(10) order by place) as text, arg_max(section, place) as section,
+all_chunks as (select document_id, page_batch, kind, chunk, run, string_agg(text, chr(10) || chr(10) order by place) as text, arg_max(section, place) as section,
   min(page_number)::bigint as page_start, max(page_number)::bigint as page_end, count(*) as n_blocks from spans group by all)"""
 
 
@@ -237,9 +237,14 @@ def document_sizes(spark, sf):
     return chunks.size_distribution(line_chunks(spark, sf))
 
 
-@add("chk_12_example_chunks")
+@add("chk_12_example_chunks", f"""{CHUNKS},
+slots as (select *, row_number() over (partition by document_id order by page_batch, run) as slot, row_number() over (partition by document_id, kind order by page_batch, run) as kind_slot from all_chunks),
+shown as (select * from slots where slot <= 3),
+lasts as (select document_id, max(slot) as last_slot, bool_or(kind = 'table') as has_table from shown group by 1)
+select s.document_id, s.slot, coalesce(t.kind, s.kind) as kind, sha256(coalesce(t.text, s.text)) as content_hash from shown s join lasts on lasts.document_id = s.document_id
+left join slots t on t.document_id = s.document_id and t.kind = 'table' and t.kind_slot = 1 and not has_table and s.slot = last_slot""")
 def example_chunks(spark, sf):
-    return chunks.example_chunks(report_chunks(spark, sf)).select("document_id", "slot", "kind", "chunk_id")
+    return chunks.example_chunks(report_chunks(spark, sf)).select("document_id", "slot", "kind", "content_hash")
 
 
 # --- extraction -------------------------------------------------------------------------------------
@@ -448,7 +453,8 @@ def pending_chunks(spark, sf):
     return extract.pending_chunks(c.select("document_id", "chunk_id", "text"), status).select("document_id", "chunk_id")
 
 
-@add("ext_22_extraction_status")
+@add("ext_22_extraction_status", f"""{SPLIT_LINES} select document_id, chunk_id,
+  case when regexp_matches(replace(content, ',', ''), '\\d{{17}}|\\.\\d{{8}}\\d*[1-9]') then 'FAILED' else 'COMPLETED' end as extraction_status from split""")
 def extraction_status(spark, sf):
     """Status of every document chunk after extraction; numbers beyond the value type are recorded as errors."""
     c = line_chunks(spark, sf)

@@ -137,8 +137,13 @@ def train(lines: list[str], classes: np.ndarray, rounds: int = 150, rate: float
 
 
 def fit_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_DOCUMENTS) -> Model:
-    """The classifier, with negative examples from at most ``sample`` documents, chosen by a hash of their id."""
-    rows = chosen(docs, doc_id=id_col, text=text_col).orderBy(F.xxhash64("doc_id"), "text").limit(sample).collect()
+    """The classifier, with negative examples from at most ``sample`` documents, chosen by a hash of id and text.
+
+    Only hashes are compared over the whole table; texts are fetched for the sample alone.
+    """
+    hashed = chosen(docs, doc_id=id_col, text=text_col).withColumn("h", F.xxhash64("doc_id", "text"))
+    smallest = hashed.select("h").orderBy("h").limit(sample).collect()
+    rows = hashed.where(F.col("h") <= smallest[-1]["h"]).select("text").limit(sample).collect() if smallest else []
     return train(*examples([p for r in rows for p in (r["text"] or "").split("\n")]))
 
 

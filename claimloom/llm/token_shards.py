@@ -29,7 +29,7 @@ RECORD_IDS = 2048
 STRIDE = 2 * RECORD_IDS + 1
 END_ID, FILL = 50256, 65535
 ROUNDS = 6
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 
 
 def permuted(numbers: np.ndarray, size: int, key: int) -> np.ndarray:

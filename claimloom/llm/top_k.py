@@ -109,11 +109,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, query_block: int
     left = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), deal(rows).alias("row"))
     first = (left.withColumn("column", each(columns)).groupBy("row", "column").cogroup(right.groupBy("row", "column"))
              .applyInPandas(_first_phase(k), "query_id bigint, low array<bigint>, best array<bigint>"))
-    bounds = (first.groupBy("query_id").agg(
-        *[F.min(F.get("low", j)).alias(f"low{j}") for j in range(SLICES)], F.flatten(F.collect_list("best")).alias("best"))
-        .select("query_id", F.array(*[f"low{j}" for j in range(SLICES)]).alias("low"),
-                F.get(F.sort_array("best", asc=False), k - 1).alias("kth")))
-    bounds = materialize(bounds.withColumn("cutoff", F.coalesce("kth", F.expr("aggregate(low, 0L, (a, x) -> a + x)"))).drop("kth"), "cutoffs")
+    first = materialize(first, "first")
+    best = first.select("query_id", F.explode("best").alias("score")).withColumn(
+        "place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("place") <= k)
+    kth = best.groupBy("query_id").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("found"))
+    lows = first.groupBy("query_id").agg(*[F.min(F.get("low", j)).alias(f"low{j}") for j in range(SLICES)])
+    low = F.array(*[f"low{j}" for j in range(SLICES)])
+    enough = F.when(F.col("found") >= k, F.col("kth"))  # fewer entries than k: everything is wanted
+    bounds = materialize(lows.join(kth, "query_id", "left").select(
+        "query_id", low.alias("low"), F.coalesce(enough, F.expr(" + ".join(f"low{j}" for j in range(SLICES)))).alias("cutoff")), "cutoffs")
     entries = (left.join(bounds, "query_id").withColumn("column", each(columns)).groupBy("row", "column").cogroup(right.groupBy("row", "column"))
                .applyInPandas(_later_phases(k), "query_id bigint, vec_id bigint, score bigint"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

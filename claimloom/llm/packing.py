@@ -206,16 +206,16 @@ def places(patterns: list[tuple[int, list[int]]]) -> pd.DataFrame:
 
 
 def token_pieces(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-                 capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+                 capacity: int = CAPACITY, end_id: int = 0, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, part, number): pieces of at most ``capacity`` ids of each text plus ``end_id``.
 
     Only longer documents are cut; their first piece takes what the full ones leave.  ``number`` counts the pieces of one length
-    within the input partition ``part``.
+    within the input partition ``part``.  With a ``vocabulary`` its added tokens have their ids inside texts too.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches):
-        pairs, part, seen = byte_pairs(rank_file, pattern), TaskContext.get().partitionId(), {}
+        pairs, part, seen = byte_pairs(rank_file, pattern, vocabulary), TaskContext.get().partitionId(), {}
         for batch in batches:
             rows = []
             for i, text in enumerate(texts_of(batch.column(1))):
@@ -266,10 +266,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> D
 
 
 def packed(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-           capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
+           capacity: int = CAPACITY, groups: int = GROUPS, vocabulary: str | None = None) -> DataFrame:
     """One row per piece of every document: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is one piece with the end id alone.  Repeated rows are packed each; null ids are carried through; an
     empty table gives an empty result; further columns are ignored.
     """
-    return pack(materialize(token_pieces(docs, rank_file, pattern, id_col, text_col, capacity), "pieces"), capacity, groups)
+    return pack(materialize(token_pieces(docs, rank_file, pattern, id_col, text_col, capacity, vocabulary=vocabulary), "pieces"), capacity, groups)

@@ -13,7 +13,8 @@ from claimloom.llm.common import prepare, table
 from claimloom.session import work_dir
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
-ENGLISH = "byte_bpe_50k.tiktoken"  # the same vocabulary as byte_bpe_50k.json
+ENGLISH = "byte_bpe_50k.tiktoken"  # the ranks of VOCABULARY, without its added token
+VOCABULARY = "byte_bpe_50k.json"
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,7 +46,7 @@ def exact_dedup(spark, sf):
 
 @query("op3_best_fit_packing")
 def best_fit_packing(spark, sf):
-    return packing.packed(table(spark, sf, "documents"), public_tokenizers.path(ENGLISH), public_tokenizers.PATTERN)
+    return packing.packed(table(spark, sf, "documents"), public_tokenizers.path(ENGLISH), public_tokenizers.PATTERN, vocabulary=public_tokenizers.path(VOCABULARY))
 
 
 def _url_check() -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from claimloom.llm import exact_copies, jaccard_join, language, packing
 from claimloom.llm.common import ROW, numbered, prepare, table, without_rows
-from claimloom.llm.queries import ENGLISH, held_out
+from claimloom.llm.queries import ENGLISH, VOCABULARY, held_out
 from claimloom.session import materialize
 
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
@@ -50,7 +50,7 @@ def distinct_contents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all documents in sequences of 2048 tokens."""
     prepare(spark)
-    return packing.packed(docs, public_tokenizers.path(ENGLISH), public_tokenizers.PATTERN)
+    return packing.packed(docs, public_tokenizers.path(ENGLISH), public_tokenizers.PATTERN, vocabulary=public_tokenizers.path(VOCABULARY))
 
 
 STAGES = [("language ID", known_language), ("exact dedup", distinct_texts), ("n-gram Jaccard join", distinct_contents), ("best-fit packing", packed_sequences)]

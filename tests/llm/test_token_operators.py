@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from claimloom.llm import bpe_tree, chat, packing, queries, token_shards
 from claimloom.llm.tokens import byte_pairs
 from claimloom.session import work_dir
@@ -69,6 +70,25 @@ def test_packing_of_odd_documents(spark):
     assert packing.packed(odd_documents(spark, []), ENGLISH, PATTERN).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext|", "|>", " ", "  ", "\n", "a", "it's", "é", "1", "中"]), max_size=12).map("".join))
+def test_added_tokens_inside_texts(text):
+    whole = Tokenizer.from_file(public_tokenizers.path(queries.VOCABULARY))
+    pairs = byte_pairs(ENGLISH, PATTERN, public_tokenizers.path(queries.VOCABULARY))
+    assert pairs.encode(text) == whole.encode(text, add_special_tokens=False).ids
+    assert b"".join(pairs.bytes_of[i] for i in pairs.encode(text)) == text.encode()
+
+
+def test_packing_of_documents_with_added_tokens(spark, tmp_path):
+    """By the query and by the last stage of the pipeline: alone, doubled, glued to words and spaces, over a cut."""
+    end = "<|endoftext|>"
+    texts = [end, end * 2, f"a {end} b", f"a{end}b", f"  {end}  ", f"\n{end}\n{end}", f"{end[:-1]}", f"word{end} " * 1500, f"{end}'s", end.upper()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    _check_packing(queries.QUERIES["op3_best_fit_packing"](spark, str(tmp_path)).collect(), list(enumerate(texts)))
+    _check_packing(corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect(), list(enumerate(texts)))
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_plan_holds_the_histogram_and_no_more(seed):
     rng = random.Random(seed)

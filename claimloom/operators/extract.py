@@ -268,11 +268,12 @@ def content_key(namespace: str) -> Column:
                             {"ignoreNullFields": "false"}), 256)
 
 
-def extract_distinct(chunks: DataFrame, extractor=extract_claims, namespace: str = "facts-v1") -> tuple[DataFrame, DataFrame]:
+def extract_distinct(chunks: DataFrame, extractor=found_facts, namespace: str = "facts-v1") -> tuple[DataFrame, DataFrame]:
     """Run ``extractor`` once per distinct evidence text and section, and give its claims to every place with that content.
 
     A claim depends on the text of its segment alone; chunk and page are those of the place, so the result is that of
-    ``extractor`` on all chunks.  Returns (claims, errors).  Equal contents are counted map-side, and the copies of a hot
+    ``extractor`` on all chunks.  Facts that the extractor marks as ``overflow`` become errors of every place, as in
+    ``overflow_errors``; an extractor without that column has none.  Returns (claims, errors).  Equal contents are counted map-side, and the copies of a hot
     content meet its claims in a plain join, whose hot partitions adaptive execution splits.
     """
     broken = span_errors(chunks)
@@ -283,9 +284,13 @@ def extract_distinct(chunks: DataFrame, extractor=extract_claims, namespace: str
     distinct = contents.select(F.lit("").alias("document_id"), F.col("content_key").alias("chunk_id"), F.lit(1).alias("page_start"),
                                F.lit(1).alias("page_end"), "section", "text", no_spans.alias("spans"))
     fields = [f for f in CLAIM_FIELDS if f != "source_page"]
-    claims = extractor(distinct).select(F.col("chunk_id").alias("content_key"), *fields)
-    bound = places.select("document_id", "chunk_id", "content_key", F.col("page").alias("source_page")).join(claims, "content_key")
-    return claims_of(bound.withColumn("overflow", F.lit(False))), broken.unionByName(ungrounded_chunks(sound))
+    found = extractor(distinct)
+    if "overflow" not in found.columns:
+        found = found.withColumn("overflow", F.lit(False))
+    at = places.select("document_id", "chunk_id", "content_key", F.col("page").alias("source_page"))
+    bound = lambda rows, *columns: at.join(rows.select(F.col("chunk_id").alias("content_key"), *columns), "content_key")
+    claims = claims_of(bound(claims_of(found), *fields).withColumn("overflow", F.lit(False)))
+    return claims, broken.unionByName(ungrounded_chunks(sound)).unionByName(overflows_of(bound(found.where("overflow"), "overflow")))
 
 
 # --- grounding -------------------------------------------------------------------------------------

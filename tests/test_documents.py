@@ -188,6 +188,20 @@ def test_reuse_equals_plain_extraction(spark):
     assert status.pop("broken") == "FAILED" and set(status.values()) == {"COMPLETED"}
 
 
+def test_reuse_reports_numbers_that_do_not_fit(spark):
+    """At every place of a repeated content, beside its other claims, as the plain extraction does; a plain extractor still plugs in."""
+    said = "Total of 12345678901234567 units and 0.123456781 units. Acme has 5 employees."
+    c = chunk_rows(spark, [said, "Beta has 7 units.", said, f"{said} More."])
+    claims, errors = extract.extract_distinct(c)
+    wanted = sorted((r.document_id, r.stage, r.item_id, r.message) for r in extract.overflow_errors(c).collect())
+    assert sorted((r.document_id, r.stage, r.item_id, r.message) for r in errors.collect()) == wanted
+    assert {(w[2], w[3]) for w in wanted} == {(k, "value_overflow") for k in ("k0", "k2", "k3")}
+    assert sorted(r.claim_id for r in claims.collect()) == sorted(r.claim_id for r in extract.extract_claims(c).collect())
+    status = {r.chunk_id: r.extraction_status for r in extract.extraction_status(c, errors).collect()}
+    assert status == {"k0": "FAILED", "k1": "COMPLETED", "k2": "FAILED", "k3": "FAILED"}
+    assert sorted(r.claim_id for r in extract.extract_distinct(c, extract.extract_claims)[0].collect()) == sorted(r.claim_id for r in claims.collect())
+
+
 def test_numbers_that_do_not_fit_are_errors(spark):
     """Neither rounded together nor silently dropped."""
     c = chunk_rows(spark, ["Share of 0.123456781 units.", "Share of 0.123456784 units.", "Total of 12345678901234567 units.", "Share of 0.12345678 units."])

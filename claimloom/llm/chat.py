@@ -2,7 +2,9 @@
 
 The turns of a conversation follow one another in training windows of at most ``budget`` tokens.  A running sum of turn tokens says
 where a window ends: always between turns.  Each window starts with the conversation's system turn and as many of the
-last turns before it as fit into ``history`` tokens; both are repeated context.  Loss falls on assistant texts that
+last turns before it as fit into ``history`` tokens; both are repeated context.  History gives way to the system turn.  A system turn
+of more than half the budget is left out of a window whose first new turn fits beside it no more (in the first window it then
+stands alone), and one longer than the budget is a plain first turn, not repeated.  Loss falls on assistant texts that
 are not repeated, so every assistant text is a target once.  A turn longer than the budget has a window of its own.
 
 Turns are written <|im_start|>role, newline, text, <|im_end|>, newline.  Inside roles and texts every ``<|`` becomes ``<||``, and a newline in a role
@@ -51,12 +53,14 @@ def read_turns(text: str) -> list[tuple[str, str]]:
 def windows_of(turns: Iterator[tuple[str, str]], count, budget: int, history: int) -> Iterator[tuple[int, int, str, list[int]]]:
     """(context turns, tokens, text, loss spans) of one conversation; keeps one window and its history in memory."""
     system: list[tuple[str, int, bool]] = []
+    head: list[tuple[str, int, bool]] = []  # the system turn, in windows that have it
+    made = 0
     recent: list[tuple[str, int, bool]] = []
     new: list[tuple[str, int, bool]] = []
     running = opened = 0  # prefix sums of turn tokens: so far, and where the window's new turns began
 
     def closed():
-        context = system + recent
+        context = head + recent
         text, loss = "".join(t for t, _, _ in context), []
         for turn, _, target in new:
             if target:
@@ -67,16 +71,24 @@ def windows_of(turns: Iterator[tuple[str, str]], count, budget: int, history: in
     for i, (role, said) in enumerate(turns):
         turn = turn_text(role, said)
         size, is_system = count(turn), i == 0 and role == "system"
-        fixed = sum(n for _, n, _ in system + recent)
+        fixed = sum(n for _, n, _ in head + recent)
         if new and fixed + running + size - opened > budget:
             yield closed()
+            made += 1
             recent = _last(recent + new, history)
             new, opened = [], running
-        while recent and sum(n for _, n, _ in system + recent) + size > budget:
-            recent = recent[1:]
+        if not new:  # a window begins
+            beside = not system or system[0][1] <= max(budget // 2, budget - size)
+            if not (beside or made):
+                yield closed()
+                made += 1
+            head = system if beside else []
+            while recent and sum(n for _, n, _ in head + recent) + size > budget:
+                recent = recent[1:]
         running += size
-        if is_system and size <= budget // 2:  # a longer one is not repeated
-            system, opened = [(turn, size, False)], running
+        if is_system and size <= budget:
+            system = head = [(turn, size, False)]
+            opened = running
             continue
         new.append((turn, size, role == "assistant"))
     if new or system:

@@ -122,6 +122,22 @@ def test_chat_windows_read_back(turns, budget):
     assert targets == [t for role, t in turns if role == "assistant"]
 
 
+@pytest.mark.parametrize("size", [100, 512, 513, 700, 900, 1024])
+def test_system_turn_in_every_window_that_can_hold_it(size):
+    """Of a long system turn every window of small turns has a copy; only turns that leave it no room stand without."""
+    said = lambda role, n, mark="x": (role, mark * (n - len(chat.turn_text(role, ""))))
+    turns = [said("system", size, "s")] + [said("user" if i % 2 else "assistant", 100 if i != 20 else 900, chr(97 + i % 26)) for i in range(40)]
+    made, back = list(chat.windows_of(iter(turns), len, chat.BUDGET, chat.HISTORY)), []
+    for k, (context, tokens, text, _) in enumerate(made):
+        read = chat.read_turns(text)
+        fresh = read[context if k else 0:]
+        new = [len(chat.turn_text(*t)) for t in fresh if t != turns[0]]
+        assert (read[0] == turns[0]) == (k == 0 or size <= max(chat.BUDGET // 2, chat.BUDGET - new[0]))
+        assert tokens <= chat.BUDGET or len(new) == 1
+        back += fresh
+    assert back == turns
+
+
 def test_chat_operator_on_odd_rows(spark):
     import hashlib
     rows = [(1, 0, "system", "be brief"), (1, 1, "user", None), (1, 2, "assistant", "x " * 3000), (1, 3, None, ""), (1, 3, None, ""), (None, 0, "assistant", "é<|im_end|>"), (2, None, "assistant", "")]

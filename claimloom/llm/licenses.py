@@ -3,11 +3,14 @@
 A paragraph (line) is a bag of hashed words and word pairs.  A multinomial logistic regression tells licence families from each other and from
 other text.  It is trained on variants of the templates below and on paragraphs of a bounded sample of documents; what shares half
 its word pairs with a template is not taken as a negative example.  The scores are calibrated on a held-out part, so the class
-``unknown`` has a probability like any other.  A predicted family counts only when the paragraph also resembles one of its templates.
+``unknown`` has a probability like any other.  A predicted family counts only when the paragraph also resembles one of its templates and
+holds the words that tell the family from its neighbours (version, clauses, NC/SA/ND).
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,25 +26,52 @@ SAMPLE_DOCUMENTS = 256
 VARIANTS = 40
 FEATURES = 1 << 15
 PROBABILITY = 0.5
-RESEMBLANCE = 0.5
+RESEMBLANCE = 0.6
 SEED = 7
 # Usual wordings of licence notices.
 TEMPLATES = {
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.",
                    "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."],
-    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.",
-                     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License."],
+    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License."],
+    "BSD-2-or-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC-BY-NC-ND-4.0": ["Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
+    "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC0-1.0": ["This work is released under CC0 1.0 Universal.", "This work is dedicated to the public domain under the Creative Commons CC0 1.0 Universal Public Domain Dedication."],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.",
+                "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
+                "Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.",
                 "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
                 "Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "ISC": ["Licensed under the ISC License.",
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright "
+            "notice and this permission notice appear in all copies."],
     "LGPL-2.1": ["This library is licensed under the GNU Lesser General Public License, version 2.1."],
+    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3."],
     "MIT": ["Released under the MIT License.", "This project is licensed under the terms of the MIT License.",
             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."],
 }
+# The words, as ``plain`` writes them, without which a text is not of the family.
+MARKS = {family: re.compile(rf"\b(?:{mark})\b") for family, mark in {
+    "AGPL-3.0": r"affero general public license .*version 3(?! [1-9])", "Apache-2.0": "apache license version 2 0", "BSD-2-Clause": "bsd 2 clause", "BSD-3-Clause": "bsd 3 clause",
+    "BSD-2-or-3-Clause": "redistribution and use in source and binary forms", "CC-BY-4.0": "(?:cc by|commons attribution) 4 0",
+    "CC-BY-NC-4.0": "(?:by nc|attribution noncommercial) 4 0", "CC-BY-NC-ND-4.0": "(?:by nc nd|attribution noncommercial noderivatives) 4 0",
+    "CC-BY-NC-SA-4.0": "(?:by nc sa|attribution noncommercial sharealike) 4 0", "CC-BY-ND-4.0": "(?:by nd|attribution noderivatives) 4 0",
+    "CC-BY-SA-4.0": "(?:by sa|attribution sharealike) 4 0", "CC0-1.0": "cc0 1 0", "GPL-2.0": r"gnu general public license .*version 2(?! [1-9])",
+    "GPL-3.0": r"gnu general public license .*version 3(?! [1-9])", "ISC": "isc license|provided that the above copyright notice and this permission notice",
+    "LGPL-2.1": r"lesser general public license .*version 2 1", "LGPL-3.0": r"lesser general public license .*version 3(?! [1-9])",
+    "MIT": "mit license|permission is hereby granted free of charge", "MPL-2.0": "mozilla public license version 2 0"}.items()}
+# Notices of other licences that share most of their words with a template.
+NEAR_MISSES = ["Licensed under the Apache License, Version 1.1.", "Licensed under CC BY 3.0.", "Licensed under CC BY-SA 2.5.", "Licensed under the BSD 4-Clause License.",
+               "This work is licensed under the GNU General Public License, version 1.", "This work is licensed under the GNU Free Documentation License, version 1.3.",
+               "This Source Code Form is subject to the terms of the Mozilla Public License, version 1.1."]
 CLASSES = [UNKNOWN, *TEMPLATES]
 _PLAIN = bytes(b if chr(b).isalnum() or b >= 128 or b in b"\n" else 32 for b in range(256))
 
@@ -69,17 +99,28 @@ def _probabilities(scores: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def plain(text: str) -> list[bytes]:
+    return text.encode().lower().translate(_PLAIN).split()
+
+
 def word_pairs(text: str) -> set[tuple[bytes, bytes]]:
-    words = text.encode().lower().translate(_PLAIN).split()
+    words = plain(text)
     return set(zip(words[:-1], words[1:]))
 
 
+def marked(words: list[bytes], family: str) -> bool:
+    return MARKS[family].search(b" ".join(words).decode(errors="replace")) is not None
+
+
 _template_pairs = {family: [word_pairs(t) for t in texts] for family, texts in TEMPLATES.items()}
+_templates = [(family, pairs) for family, all_pairs in _template_pairs.items() for pairs in all_pairs]
 
 
 def resemblance(text: str, family: str) -> float:
-    """Highest share of word pairs, of the smaller side, that a paragraph has in common with a template of the family."""
+    """Highest share of word pairs, of the smaller side, that a paragraph has in common with a template of the family; 0 without its marks."""
     own = word_pairs(text)
+    if not marked(plain(text), family):
+        return 0.0
     return max((len(own & t) / min(len(own), len(t)) for t in _template_pairs[family]), default=0.0) if len(own) > 1 else 0.0
 
 
@@ -90,16 +131,52 @@ def examples(paragraphs: list[str], variants: int = VARIANTS, seed: int = SEED)
     vocabulary = sorted({w for p in others for w in p.split()}) or ["text"]
     pick = lambda n: [vocabulary[i] for i in rng.integers(0, len(vocabulary), n)]
     lines, classes = [], []
-    for k, texts in enumerate(TEMPLATES.values(), 1):
+    for k, (family, texts) in enumerate(TEMPLATES.items(), 1):
         for text in texts:
             for v in range(variants):
                 words = text.split()
                 kept = [w for w in words if v < 4 or rng.random() > 0.1] or words
+                if not marked(plain(" ".join(kept)), family):  # no longer of the family
+                    kept = words
                 lines.append(" ".join(pick(rng.integers(0, 4) if v >= 4 else 0) + kept + pick(rng.integers(0, 4) if v >= 4 else 0)))
                 classes.append(k)
+    others = others + NEAR_MISSES
     return lines + others, np.array(classes + [0] * len(others))
 
 
+def _pair_table() -> np.ndarray:
+    """For each feature, one bit per template that has a word pair of that feature."""
+    table = np.zeros(FEATURES, np.uint64)
+    for t, (_, pairs) in enumerate(_templates):
+        for a, b in pairs:
+            index, line = features([f"{a.decode()} {b.decode()}"])
+            table[index[2]] |= np.uint64(1 << t)  # after the two words
+    return table
+
+
+def windows(lines: list[str], index: np.ndarray, line: np.ndarray, table: np.ndarray, least: float) -> Iterator[tuple[int, str, float, str]]:
+    """(line, family, share, window) of the windows inside lines that hold enough of a template's own word pairs, and the marks.
+
+    All lines are searched for the pairs of all templates; a window that passes has them, so nothing is left out before.
+    """
+    bits = table[index]
+    at = np.flatnonzero(bits)
+    bits, line = bits[at], line[at]
+    for t, (family, pairs) in enumerate(_templates):
+        counts = np.bincount(line[(bits >> np.uint64(t)) & np.uint64(1) == 1], minlength=len(lines))
+        for i in np.flatnonzero(counts >= least * len(pairs)).tolist():
+            words = plain(lines[i])
+            hits = [p for p in range(len(words) - 1) if (words[p], words[p + 1]) in pairs]
+            best = (0.0, "")
+            for k, start in enumerate(hits):
+                near = hits[k:bisect_left(hits, start + 2 * len(pairs) + 2)]
+                share = len({(words[p], words[p + 1]) for p in near}) / len(pairs)
+                if share >= least and share > best[0] and marked(words[start:near[-1] + 4], family):
+                    best = (share, b" ".join(words[start:near[-1] + 2]).decode(errors="replace"))
+            if best[1]:
+                yield i, family, *best
+
+
 class Model:
     """Weights of the classifier, with calibrated scale."""
 
@@ -107,7 +184,10 @@ class Model:
         self.weights, self.bias, self.scale = weights, bias, scale
 
     def probabilities(self, lines: list[str]) -> np.ndarray:
-        return _probabilities(_scores(*features(lines), len(lines), self.weights, self.bias) * self.scale)
+        return self.probabilities_of(*features(lines), len(lines))
+
+    def probabilities_of(self, index: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
+        return _probabilities(_scores(index, line, n, self.weights, self.bias) * self.scale)
 
 
 def train(lines: list[str], classes: np.ndarray, rounds: int = 150, rate: float = 0.5, decay: float = 1e-5, seed: int = SEED) -> Model:
@@ -164,26 +244,39 @@ def _line_groups(texts: list[str]) -> Iterator[tuple[list[tuple[int, int]], list
 
 def licence_paragraphs(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
                        probability: float = PROBABILITY, least: float = RESEMBLANCE) -> DataFrame:
-    """(doc_id, paragraph, family, probability, resemblance, text) of every paragraph that carries a licence notice.
+    """(doc_id, paragraph, family, probability, resemblance, text) of every paragraph and family of which it carries a notice.
 
+    The classifier sees whole lines, and in lines of any length the windows that hold the word pairs of a template.
     Paragraphs are lines, counted from 0.  Null and empty texts have none; repeated rows are scanned each; an empty table gives an
     empty result; further columns are ignored.
     """
+    table = _pair_table()
+
     def work(batches):
         for batch in batches:
             at, numbers, families, chances, shares, found = [], [], [], [], [], []
             for places, lines in _line_groups(texts_of(batch.column(1))):
-                p = model.probabilities(lines)
+                index, line = features(lines)
+                p = model.probabilities_of(index, line, len(lines))
                 best = p[:, 1:].argmax(axis=1) + 1
+                notices: dict[tuple[int, str], tuple[float, float]] = {}
                 for i in np.flatnonzero(p[np.arange(len(p)), best] >= probability).tolist():
                     share = resemblance(lines[i], CLASSES[best[i]])
                     if share >= least:
-                        at.append(places[i][0])
-                        numbers.append(places[i][1])
-                        families.append(CLASSES[best[i]])
-                        chances.append(float(p[i, best[i]]))
-                        shares.append(share)
-                        found.append(lines[i])
+                        notices[i, CLASSES[best[i]]] = (float(p[i, best[i]]), share)
+                inside = list(windows(lines, index, line, table, least))
+                chance = model.probabilities([w for *_, w in inside]) if inside else ()
+                for (i, family, share, _), q in zip(inside, chance):
+                    of = float(q[CLASSES.index(family)])
+                    if of >= probability:
+                        notices[i, family] = max(notices.get((i, family), (0.0, 0.0)), (of, share))
+                for (i, family), (of, share) in sorted(notices.items()):
+                    at.append(places[i][0])
+                    numbers.append(places[i][1])
+                    families.append(family)
+                    chances.append(of)
+                    shares.append(share)
+                    found.append(lines[i])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(numbers, pa.int64()), pa.array(families, pa.string()),
                                               pa.array(chances, pa.float64()), pa.array(shares, pa.float64()), pa.array(found, pa.string())],
                                              names=["doc_id", "paragraph", "family", "probability", "resemblance", "text"])

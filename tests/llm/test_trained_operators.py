@@ -84,6 +84,23 @@ def test_licences_of_documents_and_variants(spark, sf):
     assert licenses.licence_paragraphs(odd.limit(0), model).count() == 0
 
 
+def test_licences_inside_long_lines_and_near_misses(spark, sf):
+    """Every template in the middle of a line of 50 to 500 corpus words; versions and variants are told apart or left out."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = licenses.fit_on(docs)
+    words = [w for r in docs.where("lang = 'en'").limit(50).collect() for w in r["text"].split() if "icens" not in w]
+    rng = random.Random(3)
+    pick = lambda n: " ".join(rng.choices(words, k=n))
+    rows = [(f"{pick(n)} {t} {pick(n)}", {family}) for family, texts in licenses.TEMPLATES.items() for t in texts for n in (0, 25, 250)]
+    rows += [(f"{pick(60)} Released under the MIT License. {pick(60)} Licensed under CC BY-ND 4.0. {pick(60)}", {"MIT", "CC-BY-ND-4.0"})]
+    rows += [(f"{pick(n)} {t} {pick(n)}", set()) for t in licenses.NEAR_MISSES for n in (0, 40)]
+    odd = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id bigint, text string")
+    found = {}
+    for r in licenses.licence_paragraphs(odd, model).collect():
+        found.setdefault(r["doc_id"], set()).add(r["family"])
+    assert {i: (found.get(i, set()), f, t[:90]) for i, (t, f) in enumerate(rows) if found.get(i, set()) != f} == {}
+
+
 def test_licence_model_on_held_out_variants():
     others = [" ".join(random.Random(i).choices(["the", "work", "license", "under", "blue", "version", "public", "sea"], k=9)) for i in range(300)]
     model = licenses.train(*licenses.examples(others, seed=1))

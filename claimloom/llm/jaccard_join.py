@@ -14,8 +14,9 @@ elements of both sets then share at least l, for every level l (the l-prefixes).
 3. Candidates are verified on their whole sets.  In a dear group each class is first compared with the class of its element
    that differs least from the group; only pairs that these links leave in different components are compared after that.
 
-Links between classes make components; no pair inside a component is needed beyond those that hold it together.  Words, shingles and
-word sequences are compared by 64-bit hashes.
+Links between classes make components; no pair inside a component is needed beyond those that hold it together.  A class is told by 128
+bits of a cryptographic digest of its words; words and shingles are compared by keyed 64-bit hashes, so two documents of n shingles are
+misjudged with a chance below n * n / 2**64.
 """
 
 from __future__ import annotations
@@ -43,31 +44,37 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 
 def class_prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, node, size, prefix): class of each text, number of distinct shingles, and its basic prefix."""
+    """(doc_id, digest, size, prefix): class of each text, number of distinct shingles, and its basic prefix."""
     def work(batches):
         for batch in batches:
-            nodes, sizes, prefixes = [], [], []
+            digests, sizes, prefixes = [], [], []
             for words in words_of(texts_of(batch.column(1))):
                 s = shingle_set(words, n)
                 size = len(s)
-                nodes.append(sequence_digest(words))
+                digests.append(sequence_digest(words))
                 sizes.append(size)
                 prefixes.append(_signed(s[:min(size, size - -(-percent * size // 100) + 1 + size // LEVEL_STEP)]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                                             names=["doc_id", "node", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
+                                             names=["doc_id", "digest", "size", "prefix"])
 
-    return docs.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node bigint, size bigint, prefix array<bigint>")
+    return docs.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest binary, size bigint, prefix array<bigint>")
+
+
+def classes_of(prefixes: DataFrame) -> DataFrame:
+    """(node, digest, size, prefix, doc_id) of every class with words, stored; nodes are numbers given once, the id is the smallest."""
+    found = prefixes.where("size > 0").groupBy("digest").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.min("doc_id").alias("doc_id"))
+    return materialize(found.withColumn("node", F.monotonically_increasing_id()), "classes")
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(node, size, set) of the ``wanted`` (doc_id, node), from their whole texts; one row per node."""
+    """(node, size, set) of the ``wanted`` (doc_id, node, digest), from their whole texts; one row per node."""
     few = wanted.count() <= BROADCAST_IDS
-    named = docs.join(F.broadcast(wanted) if few else wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text")
+    named = docs.join(F.broadcast(wanted) if few else wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text", "digest")
 
     def work(batches):
         for batch in batches:
-            rows = [(node, _signed(shingle_set(words, n))) for node, words in zip(batch.column(0).to_pylist(), words_of(texts_of(batch.column(1))))
-                    if sequence_digest(words) == node]  # an id may name several texts
+            rows = [(node, _signed(shingle_set(words, n))) for node, digest, words in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), words_of(texts_of(batch.column(1))))
+                    if sequence_digest(words) == digest]  # an id may name several texts
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([len(r[1]) for r in rows], pa.int64()),
                                               pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["node", "size", "set"])
 
@@ -98,10 +105,9 @@ def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def links(docs: DataFrame, prefixes: DataFrame, n: int, percent: int) -> DataFrame | None:
-    """Verified edges (a, b) between classes that connect every two linked classes; None if there are no candidates."""
+def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """Verified edges (a, b) between classes that connect every two linked classes."""
     least_overlap = lambda size: F.ceil(size * percent / 100.0 - 1e-9)
-    classes = prefixes.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     rows = classes.select("node", "size", F.explode("prefix").alias("token"))
     level = lambda size: 1 + F.floor(least_overlap(size) / LEVEL_STEP)  # noqa: E731  of the smallest partner
     alive = materialize(_rarest(rows, lambda size, shared: shared - level(size) + 1), "alive")
@@ -117,9 +123,8 @@ def links(docs: DataFrame, prefixes: DataFrame, n: int, percent: int) -> DataFra
     near = materialize(near, "near")
     dear = materialize(entries.where(F.col("members") > CHEAP).select("node").distinct(), "dear")
 
-    ids = prefixes.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     needed = near.select(F.col("a").alias("node")).union(near.select("b")).union(dear).distinct()
-    sets = class_sets(docs, materialize(ids.join(needed, "node").select("doc_id", "node"), "needed"), n)
+    sets = class_sets(docs, materialize(classes.join(needed, "node").select("doc_id", "node", "digest"), "needed"), n)
     edges = materialize(verified(near, sets, percent), "edges")
 
     whole = sets.join(dear, "node").select("node", "size", F.explode("set").alias("token"))
@@ -155,10 +160,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     docs = chosen(docs, doc_id=id_col, text=text_col)
     prefixes = materialize(class_prefixes(docs, n, percent), "prefixes")
-    labels = components(links(docs, prefixes, n, percent))
-    roots = prefixes.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("root"))
+    classes = classes_of(prefixes)
+    labels = components(links(docs, classes, n, percent))
+    roots = classes.select("node", "digest", F.col("doc_id").alias("root"))
     named = labels.join(roots, "node")
     found = named.join(named.groupBy("label").agg(F.min("root").alias("component_id")), "label").select("node", "component_id")
-    all_ = roots.join(found, "node", "left").select("node", F.coalesce("component_id", "root").alias("component_id"))
-    return (prefixes.select("doc_id", "node", "size").join(all_, "node", "left")
+    all_ = roots.join(found, "node", "left").select("digest", F.coalesce("component_id", "root").alias("component_id"))
+    return (prefixes.select("doc_id", "digest", "size").join(all_, "digest", "left")
             .select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))

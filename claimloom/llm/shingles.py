@@ -8,9 +8,9 @@ from collections.abc import Iterator
 import numpy as np
 
 PIECE = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+LONG_WORD = 128
+_KEY = 0x9E3779B97F4A7C15
+_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)  # masks of the first i bytes of a lane
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[32, *range(9, 14)]] = True
 
@@ -22,23 +22,29 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(kind: str, size: int) -> np.ndarray:
-    if len(_powers[kind]) < size:
-        steps = np.full(max(size, PIECE * 2), _BASE if kind == "up" else _INVERSE)
-        steps[0] = 1
-        _powers[kind] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[kind][:size]
-
-
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word and where it starts."""
+    """A keyed 64-bit hash of each word and where it starts.
+
+    The bytes of a word enter in lanes of eight, each mixed into the state of the lanes before it by bijections that are not linear; words
+    of more than LONG_WORD bytes enter by a cryptographic digest.
+    """
     raw = np.frombuffer(data, np.uint8)
     gap = _SEPARATOR[raw]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power("up", len(raw)), out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * _power("down", len(raw) + 1)[starts] + (ends - starts).astype(np.uint64)), starts
+    left = ends - starts
+    out = mixed(left.astype(np.uint64) ^ np.uint64(_KEY))
+    lanes = np.ndarray(len(raw) + 1, "<u8", data + bytes(8), strides=(1,))
+    active = np.flatnonzero(left <= LONG_WORD)
+    for i in np.flatnonzero(left > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i]:ends[i]], digest_size=8, key=_KEY.to_bytes(8, "little")).digest(), "little")
+    at, left = starts[active], left[active]
+    while len(active):
+        lane = lanes[at] & _BYTES[np.minimum(left, 8)]
+        out[active] = mixed(out[active] ^ mixed(lane + np.uint64(_KEY)))
+        more = left > 8
+        active, at, left = active[more], at[more] + 8, left[more] - 8
+    return out, starts
 
 
 def _pieces(data: bytes) -> Iterator[bytes]:
@@ -91,6 +97,6 @@ def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(mixed(total))
 
 
-def sequence_digest(words: np.ndarray) -> int:
-    """64 bits of a cryptographic digest of the word sequence, signed."""
-    return int.from_bytes(hashlib.blake2b(words.tobytes(), digest_size=8).digest(), "little", signed=True)
+def sequence_digest(words: np.ndarray) -> bytes:
+    """128 bits of a cryptographic digest of the word sequence."""
+    return hashlib.blake2b(words.tobytes(), digest_size=16).digest()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import bpe_tree, chat, exact_copies, jaccard_join, language, licenses, packing, token_shards, top_k, url_reputation
+from claimloom.llm import bpe_tree, chat, exact_copies, jaccard_join, language, licenses, packing, sketch_dedup, token_shards, top_k, url_reputation
 from claimloom.llm.common import prepare, table
 from claimloom.session import work_dir
 
@@ -112,15 +112,20 @@ def training_order(spark, sf):
     return token_shards.training_order(table(spark, sf, "documents"), f"{work_dir(spark)}/shards", public_tokenizers.path(ENGLISH), public_tokenizers.PATTERN)
 
 
-@query("op9_jaccard_join", """with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+def _components_check(percent: int) -> str:
+    """Components of all links between 4-word shingle sets, by all pairs that share a shingle."""
+    return f"""with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
 s as (select doc_id, unnest(case when len(w) >= 4 then list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from w),
 n as (select doc_id, count(*) as n from s group by 1),
 o as (select a.doc_id as a, b.doc_id as b, count(*) as o from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
-e as (select a, b from o join n p on p.doc_id = a join n q on q.doc_id = b where 100 * o >= 85 * (p.n + q.n - o)),
+e as (select a, b from o join n p on p.doc_id = a join n q on q.doc_id = b where 100 * o >= {percent} * (p.n + q.n - o)),
 both_ways as (select a, b from e union select b, a from e),
 reach(x, y) as (select a, b from both_ways union select r.x, e.b from reach r join both_ways e on e.a = r.y)
 select doc_id, coalesce(n, 0) as n_shingles, least(doc_id, coalesce(m, doc_id)) as component_id
-from documents left join n using (doc_id) left join (select x as doc_id, min(y) as m from reach group by 1) using (doc_id)""")
+from documents left join n using (doc_id) left join (select x as doc_id, min(y) as m from reach group by 1) using (doc_id)"""
+
+
+@query("op9_jaccard_join", _components_check(85))
 def ngram_jaccard_join(spark, sf):
     return jaccard_join.jaccard_components(table(spark, sf, "documents"))
 
@@ -133,3 +138,8 @@ select query_id, rank::int as rank, vec_id, score from r where rank <= 10""")
 def top_k_search(spark, sf):
     vectors = top_k.integer_vectors(table(spark, sf, "embeddings"))
     return top_k.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
+
+
+@query("op11_sketch_dedup", f"select *, doc_id = component_id as kept from ({_components_check(sketch_dedup.PERCENT)})")
+def near_copy_sketches(spark, sf):
+    return sketch_dedup.near_copies(table(spark, sf, "documents"))

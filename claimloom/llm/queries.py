@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import bpe_tree, chat, exact_copies, jaccard_join, language, licenses, packing, sketch_dedup, token_shards, top_k, url_reputation
+from claimloom.llm import bpe_tree, chat, collocations, exact_copies, jaccard_join, language, licenses, packing, sketch_dedup, token_shards, top_k, url_reputation
 from claimloom.llm.common import prepare, table
 from claimloom.session import work_dir
 
@@ -143,3 +143,22 @@ def top_k_search(spark, sf):
 @query("op11_sketch_dedup", f"select *, doc_id = component_id as kept from ({_components_check(sketch_dedup.PERCENT)})")
 def near_copy_sketches(spark, sf):
     return sketch_dedup.near_copies(table(spark, sf, "documents"))
+
+
+@query("op12_collocations", """with t as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as p from documents),
+s as (select lang, list_filter(regexp_split_to_array(p, '[\\x20\\x09]+'), lambda x: x <> '') as w from t),
+g as (select lang, unnest(flatten(list_transform(range(1, len(w) + 1), lambda i: list_transform(range(i, least(i + 3, len(w)) + 1), lambda j: w[i:j])))) as p from s),
+f as (select lang, p, count(*) as f from g group by 1, 2),
+n as (select lang, sum(f) as n from f where len(p) = 1 group by 1),
+c as (select lang, p, f as a from f where len(p) > 1 and f >= 30),
+cuts as (select lang, p, a, unnest(range(1, len(p))) as k from c),
+scores as (select u.lang, u.p, u.a, k, x.f as l, y.f as r, (2000000::hugeint * u.a) // (x.f + y.f) as score
+  from cuts u join f x on x.lang = u.lang and x.p = u.p[1:k] join f y on y.lang = u.lang and y.p = u.p[k + 1:]),
+lowest as (select lang, p, a, l, r, score from scores qualify row_number() over (partition by lang, p order by score, k) = 1),
+inside as (select lang, unnest(flatten(list_transform(range(1, len(p)), lambda i: list_transform(range(i + 1, len(p) + 1), lambda j: p[i:j])))) as q, len(p) as size, a as f from c),
+covered as (select lang, q as p, max(f) as f from inside where len(q) < size group by 1, 2),
+kept as (select x.*, array_to_string(x.p, ' ') as phrase from lowest x left join covered y on x.lang = y.lang and x.p = y.p where y.f is null or 100 * y.f < 80 * x.a)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n::bigint as n, score::bigint as score
+from kept join n using (lang) qualify rank <= 2000""")
+def phrase_collocations(spark, sf):
+    return collocations.collocations(table(spark, sf, "documents"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import bpe_tree, chat, collocations, exact_copies, jaccard_join, language, licenses, packing, sketch_dedup, token_shards, top_k, url_reputation
+from claimloom.llm import bpe_tree, chat, collocations, divergence, exact_copies, jaccard_join, language, licenses, packing, sketch_dedup, token_shards, top_k, url_reputation
 from claimloom.llm.common import prepare, table
 from claimloom.session import work_dir
 
@@ -162,3 +162,21 @@ select lang, row_number() over (partition by lang order by score desc, a desc, p
 from kept join n using (lang) qualify rank <= 2000""")
 def phrase_collocations(spark, sf):
     return collocations.collocations(table(spark, sf, "documents"))
+
+
+@query("op13_divergence", """with t as (select row_number() over () as d, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+o as (select d, lang, source, translate(unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term from t),
+k as (select lang, term, count(*) as total from o group by 1, 2 having count(distinct d) >= 3),
+c as (select lang, source, term, count(*) as n from o semi join k using (lang, term) group by 1, 2, 3),
+v as (select lang, count(*) as v, sum(total) as lang_n from k group by 1),
+g as (select lang, source, coalesce(n, 0) as group_n, coalesce(v, 0) as v, lang_n from (select distinct lang, source from t) left join (select lang, source, sum(n) as n from c group by 1, 2) using (lang, source) left join v using (lang)),
+p as (select lang, source, term, coalesce(n, 0) as n, 1 + 1000000000::hugeint * (coalesce(n, 0) + 1) // (group_n + v) as p, 1 + 1000000000::hugeint * (total + 1) // (lang_n + v) as q
+  from g join k using (lang) left join c using (lang, source, term)),
+pair as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join (select x.lang, x.source, y.source as other, sum((x.p - y.p) * (x.p - y.p) // y.p) as s from p x join p y on x.lang = y.lang and x.term = y.term group by 1, 2, 3) z
+    on z.lang = a.lang and z.source = a.source and z.other = b.source),
+term as (select lang, source, 'term' as part, term as item, (p - q) * (p - q) // q as value from p where n > 0 and p > q)
+select lang, source, part, item, value::bigint as value, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank
+from (select * from pair union all select * from term) qualify part = 'pair' or row_number() over (partition by lang, source, part order by value desc, item) <= 200""")
+def source_divergence(spark, sf):
+    return divergence.audit(table(spark, sf, "documents"))

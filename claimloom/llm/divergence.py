@@ -8,9 +8,10 @@ terms, which most groups lack, stand together.  The trees are cut at the roots o
 2. The subtrees of one block of all groups are built together, level by level from the leaves: equal pairs of children are one node, whichever
    group and place they are from, so a node number stands for a sequence of counts.
 3. All pairs of groups are traversed at once.  A front holds the node pairs that a group pair has reached and how often; equal pairs are one
-   entry, so each is taken apart once, and what is left at the leaves is how often a group pair has each pair of counts.  Empty subtrees of
-   both groups are never entered: the pair (0, 0) gets what the other pairs leave of V.
-4. Spark adds up the pairs of counts of all blocks and prices each of them once per group pair, in both directions.
+   entry, so each is taken apart once, and what is left at the leaves is how often a group pair has each pair of counts.  Empty subtrees are
+   never entered.
+4. Spark adds up the pairs of counts of all blocks and prices each of them once per group pair, in both directions.  Terms that one group
+   lacks follow from the other's counts (each priced against 0 as if alone, taken back where both have the term), and those that both lack from V.
 
 Sources meet in tiles of ``TILE``, so that a task holds the subtrees of two tiles however many sources a language has.  All arithmetic is in
 whole numbers.
@@ -97,11 +98,11 @@ def _subtrees(rows: pd.DataFrame, groups: pd.Index) -> tuple[list[np.ndarray], l
 
 
 def _count_pairs(roots: np.ndarray, tree: list, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(group pair, left count, right count, times) of all group pairs, without (0, 0), by one front over all of them."""
+    """(group pair, left count, right count, times) of all group pairs where both counts are above 0, by one front over all of them."""
     pair, a, b = np.arange(len(left)), roots[left], roots[right]
     times = np.ones(len(left), np.int64)
     for level in [*reversed(tree[1:]), None]:
-        open_ = (a != 0) | (b != 0)
+        open_ = (a != 0) & (b != 0)
         pair, a, b, times = pair[open_], a[open_], b[open_], times[open_]
         if level is None:
             return pair, tree[0][a], tree[0][b], times
@@ -133,7 +134,7 @@ def _block_pairs(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def count_pairs(cells: DataFrame, sources: DataFrame) -> DataFrame:
-    """(lang, source, other, n, m, times) for one order of every two sources of a language: how many kept terms have these counts, if any."""
+    """(lang, source, other, n, m, times) for one order of every two sources of a language: how many kept terms have these counts, both above 0."""
     tiles = sources.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
     homes = sources.join(tiles, "lang").select("lang", "source", F.pmod(F.xxhash64("source"), "tiles").alias("home"), "tiles")
     dealt = cells.join(homes, ["lang", "source"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -157,6 +158,28 @@ def divergence(p: str, q: str) -> Column:
     return F.call_function("div", (F.col(p) - F.col(q)) * (F.col(p) - F.col(q)), F.col(q))
 
 
+def pair_values(met: DataFrame, single: DataFrame, groups: DataFrame) -> DataFrame:
+    """(lang, source, other, there, back) for one order of every two sources: divergences over all kept terms, from one side and from the other.
+
+    ``single`` (lang, source, n, times) says how many kept terms a group has n times, n above 0.  A sum over all terms is that of each group
+    alone against 0, plus for ``met`` what both counts together differ from both alone; it never exceeds a few times SCALE squared.
+    """
+    others = groups.select("lang", F.col("source").alias("other"), F.col("group_n").alias("other_n"), F.col("held").alias("other_held"))
+    both = groups.join(others, "lang").where(F.col("source") < F.col("other")).select("lang", "source", "other", "group_n", "other_n", "held", "other_held", "v")
+    zero = F.lit(0).cast("bigint")
+    key = ["lang", "source", "other"]
+    rows = (met.select(*key, "n", "m", "times", F.lit(True).alias("together")).join(both, key)
+            .unionByName(single.join(both, ["lang", "source"]).select(*both.columns, "n", zero.alias("m"), "times", F.lit(False).alias("together")))
+            .unionByName(single.select("lang", F.col("source").alias("other"), F.col("n").alias("m"), "times").join(both, ["lang", "other"])
+                         .select(*both.columns, zero.alias("n"), "m", "times", F.lit(False).alias("together")))
+            .unionByName(both.select("*", zero.alias("n"), zero.alias("m"), (F.col("v") - F.col("held") - F.col("other_held")).alias("times"), F.lit(False).alias("together"))))
+    for name, n, total in (("p", F.col("n"), "group_n"), ("p0", zero, "group_n"), ("q", F.col("m"), "other_n"), ("q0", zero, "other_n")):
+        rows = rows.withColumn(name, F.when(F.col("v") > 0, share(n, total)))
+    alone = lambda x, y: F.when(F.col("together"), divergence(x, f"{y}0") + divergence(f"{x}0", y) - divergence(f"{x}0", f"{y}0")).otherwise(0)
+    value = lambda x, y: F.coalesce(F.sum(F.col("times") * (divergence(x, y) - alone(x, y))), zero)
+    return rows.groupBy(*key).agg(value("p", "q").alias("there"), value("q", "p").alias("back"))
+
+
 def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least: int = LEAST_DOCUMENTS, ranks: int = TERM_RANKS) -> DataFrame:
     """(lang, source, part, item, value, rank): how far every group is from the other sources and from its language.
 
@@ -170,20 +193,12 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     counts = term_counts(docs)
     kept, langs = kept_terms(counts, least)
     cells = materialize(counts.where("term is not null").join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "total", "block", "place"), "cells")
-    totals = cells.groupBy("lang", "source").agg(F.sum("n").alias("group_n"))
+    totals = cells.groupBy("lang", "source").agg(F.sum("n").alias("group_n"), F.count(F.lit(1)).alias("held"))
     groups = counts.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang")
-    groups = materialize(groups.select("lang", "source", F.coalesce("group_n", F.lit(0)).alias("group_n"), "v", "lang_n"), "groups")
+    groups = materialize(groups.select("lang", "source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("group_n", "held")], "v", "lang_n"), "groups")
 
     met = materialize(count_pairs(cells.select("lang", "source", "block", "place", "n"), groups.select("lang", "source")), "count_pairs")
-    others = groups.select("lang", F.col("source").alias("other"), F.col("group_n").alias("other_n"))
-    both = groups.join(others, "lang").where(F.col("source") < F.col("other")).select("lang", "source", "other", "group_n", "other_n", "v")
-    left_over = met.groupBy("lang", "source", "other").agg(F.sum("times").alias("seen"))
-    empty = both.join(left_over, ["lang", "source", "other"], "left").select(
-        "lang", "source", "other", F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("m"), (F.col("v") - F.coalesce("seen", F.lit(0))).alias("times"))
-    priced = both.join(met.unionByName(empty), ["lang", "source", "other"])
-    priced = priced.withColumn("p", F.when(F.col("v") > 0, share("n", "group_n"))).withColumn("q", F.when(F.col("v") > 0, share("m", "other_n")))
-    value = lambda p, q: F.coalesce(F.sum(F.col("times") * divergence(p, q)), F.lit(0))
-    sums = priced.groupBy("lang", "source", "other").agg(value("p", "q").alias("there"), value("q", "p").alias("back"))
+    sums = pair_values(met, cells.groupBy("lang", "source", "n").agg(F.count(F.lit(1)).alias("times")), groups)
     ways = F.array(F.struct("source", F.col("other").alias("item"), F.col("there").alias("value")), F.struct(F.col("other").alias("source"), F.col("source").alias("item"), F.col("back").alias("value")))
     pairs = sums.select("lang", F.explode(ways).alias("w")).select("lang", "w.source", F.lit("pair").alias("part"), "w.item", "w.value")
 

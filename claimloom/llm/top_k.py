@@ -99,8 +99,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, query_block: int
 
     Both inputs are rows of ``integer_vectors``.  Fewer than k candidates give all of them; rows with the query's own id never
     match; ties go to the smaller vec_id; equal vectors are separate candidates.  Vectors of unequal length compare
-    as if the shorter ended in zeros.  Empty inputs give an empty result.
+    as if the shorter ended in zeros.  Empty inputs give an empty result.  A query id given several times is one query (of
+    different vectors the smallest); a candidate id given several times is a candidate each time.
     """
+    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     n, m = vectors.count(), queries.count()
     rows, columns = max(1, -(-m // query_block)), max(1, -(-n // candidate_block))
     deal = lambda size: F.pmod(F.xxhash64("vec_id"), F.lit(size)).cast("int")

@@ -268,29 +268,57 @@ def content_key(namespace: str) -> Column:
                             {"ignoreNullFields": "false"}), 256)
 
 
+CONTENT_FIELDS = [f for f in CLAIM_FIELDS if f != "source_page"]  # what depends on the evidence text alone
+
+
+def content_places(chunks: DataFrame, namespace: str) -> tuple[DataFrame, DataFrame]:
+    """(document_id, chunk_id, content_key, segment_text, section, source_page) of every evidence text, and the errors of chunks without one."""
+    broken = span_errors(chunks)
+    sound = chunks.join(broken.select("document_id", F.col("item_id").alias("chunk_id")).distinct(), ["document_id", "chunk_id"], "left_anti")
+    places = evidence_segments(sound).where("page is not null").select(
+        "document_id", "chunk_id", content_key(namespace).alias("content_key"), "segment_text", "section", F.col("page").alias("source_page"))
+    return places, broken.unionByName(ungrounded_chunks(sound))
+
+
+def content_chunks(contents: DataFrame, spans_type) -> DataFrame:
+    """Contents (content_key, text, section) as one-page chunks, for an extractor."""
+    return contents.select(F.lit("").alias("document_id"), F.col("content_key").alias("chunk_id"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"),
+                           "section", "text", F.array().cast(spans_type).alias("spans"))
+
+
+def no_facts(spark: SparkSession) -> DataFrame:
+    """What ``found_facts`` gives for no chunks."""
+    spans = ("array<struct<block_id: string, char_start: int, char_end: int, chunk_char_start: int, chunk_char_end: int, page_number: int, page_numbers: array<int>>>")
+    empty = spark.createDataFrame([], f"document_id string, chunk_id string, page_start int, page_end int, section string, text string, spans {spans}")
+    return found_facts(empty)
+
+
+def bound_to_places(places: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(claims, overflow errors) of all places of the contents whose facts (content_key, CONTENT_FIELDS, overflow) are ``found``.
+
+    Copies of a hot content meet its facts in a plain join, whose hot partitions adaptive execution splits.
+    """
+    at = places.select("document_id", "chunk_id", "content_key", "source_page")
+    distinct = found.where("not overflow").select("content_key", *CONTENT_FIELDS).distinct()
+    claims = claims_of(at.join(distinct, "content_key").withColumn("overflow", F.lit(False)))
+    return claims, overflows_of(at.join(found.where("overflow").select("content_key", "overflow"), "content_key"))
+
+
 def extract_distinct(chunks: DataFrame, extractor=found_facts, namespace: str = "facts-v1") -> tuple[DataFrame, DataFrame]:
     """Run ``extractor`` once per distinct evidence text and section, and give its claims to every place with that content.
 
     A claim depends on the text of its segment alone; chunk and page are those of the place, so the result is that of
     ``extractor`` on all chunks.  Facts that the extractor marks as ``overflow`` become errors of every place, as in
-    ``overflow_errors``; an extractor without that column has none.  Returns (claims, errors).  Equal contents are counted map-side, and the copies of a hot
-    content meet its claims in a plain join, whose hot partitions adaptive execution splits.
+    ``overflow_errors``; an extractor without that column has none.  Returns (claims, errors).  ``reuse.ExtractionCache`` keeps what is found for
+    later runs.
     """
-    broken = span_errors(chunks)
-    sound = chunks.join(broken.select("document_id", F.col("item_id").alias("chunk_id")).distinct(), ["document_id", "chunk_id"], "left_anti")
-    places = evidence_segments(sound).where("page is not null").withColumn("content_key", content_key(namespace))
+    places, errors = content_places(chunks, namespace)
     contents = places.groupBy("content_key").agg(F.first("segment_text").alias("text"), F.first("section").alias("section"))
-    no_spans = F.array().cast(chunks.schema["spans"].dataType)
-    distinct = contents.select(F.lit("").alias("document_id"), F.col("content_key").alias("chunk_id"), F.lit(1).alias("page_start"),
-                               F.lit(1).alias("page_end"), "section", "text", no_spans.alias("spans"))
-    fields = [f for f in CLAIM_FIELDS if f != "source_page"]
-    found = extractor(distinct)
+    found = extractor(content_chunks(contents, chunks.schema["spans"].dataType))
     if "overflow" not in found.columns:
         found = found.withColumn("overflow", F.lit(False))
-    at = places.select("document_id", "chunk_id", "content_key", F.col("page").alias("source_page"))
-    bound = lambda rows, *columns: at.join(rows.select(F.col("chunk_id").alias("content_key"), *columns), "content_key")
-    claims = claims_of(bound(claims_of(found), *fields).withColumn("overflow", F.lit(False)))
-    return claims, broken.unionByName(ungrounded_chunks(sound)).unionByName(overflows_of(bound(found.where("overflow"), "overflow")))
+    claims, overflows = bound_to_places(places, found.withColumnRenamed("chunk_id", "content_key"))
+    return claims, errors.unionByName(overflows)
 
 
 # --- grounding -------------------------------------------------------------------------------------

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimloom.functions import text as tx
-from claimloom.operators import chunks, extract, normalize, pairs, verdicts
+from claimloom.operators import chunks, extract, normalize, pairs, reuse, verdicts
 from claimloom.plans import check_sql as sql
 from claimloom.plans.catalog import Catalog, claims_n
 from claimloom.plans.catalog_documents import (BLOCKS, LINES, WALK, line_blocks, line_chunks, page_blocks,
                                                report_blocks, report_chunks, report_claims, resolved, table_context, turn_blocks)
+from claimloom.session import work_dir
 from claimloom.sources import derived
 
 catalog = Catalog()
@@ -288,8 +289,7 @@ def table_rows(spark, sf):
     return extract.sentences(tables).select("document_id", "block_id", "sentence", F.concat_ws(";", extract._cells(F.col("sentence"))).alias("cells"))
 
 
-_DATE = (r"\b(?:\d{4}-\d{2}-\d{2}|\d{1,2}[/-]\d{1,2}[/-]\d{4}|(?:January|February|March|April|May|June|July|August|"
-         r"September|October|November|December)\s+\d{1,2},?\s+\d{4})\b")
+_DATE = extract.DATE
 
 
 @add("ext_05_date_literals", f"""with {BLOCKS} select document_id, block_id, array_to_string(regexp_extract_all(text, '(?i){_DATE}'), ';') as dates from blocks""")
@@ -357,12 +357,24 @@ def scopes(spark, sf):
     return _sentences(spark, sf).select("document_id", "block_id", "sentence", extract.scope_of(F.col("sentence")).alias("scope"))
 
 
-@add("ext_11_table_columns", f"""with {BLOCKS}, lines as (select *, string_split(text, chr(10)) as l from blocks where block_type = 'table')
-select document_id, block_id, trim(string_split(l[3], '|')[3]) as value_text, 'Table column: Revenue' as qualifier, trim(string_split(l[3], '|')[2]) as metric_raw from lines""")
+# Values of every sentence and of every table cell with its header: dates first, then the numbers outside of them that are no bare year.
+_VALUES = f"""{_SENTENCES}, rows as (select document_id, block_id, list_transform(string_split(trim(l[1], '|'), '|'), lambda c: trim(c)) as headers,
+    unnest(list_filter(l[3:], lambda x: x <> '')) as line from (select document_id, block_id, string_split(text, chr(10)) as l from blocks where block_type = 'table')),
+  cells as (select document_id, block_id, headers, line, list_transform(string_split(trim(line, '|'), '|'), lambda c: trim(c)) as c from rows),
+  texts as (select document_id, block_id, false as is_table, sentence as t, null::bigint as column_no, null as header, null as row_name,
+      list_distinct(regexp_extract_all(sentence, '\\b(?:19|20)\\d{{2}}\\b')) as years, regexp_matches(sentence, '(?i){extract.METRIC}') as bare from s where not is_table
+    union all select document_id, block_id, true, t, i, header, row_name, list_distinct(regexp_extract_all(header, '\\b(?:19|20)\\d{{2}}\\b')), true
+      from (select document_id, block_id, unnest(c) as t, unnest(range(0, len(c))) as i, unnest(headers) as header, c[1] as row_name from cells)),
+  found as (select *, unnest(regexp_extract_all(t, '(?i){_DATE}')) as v, true as is_date from texts
+    union all select *, unnest(regexp_extract_all(regexp_replace(t, '(?i){_DATE}', 'on', 'g'), '(?i)(?:^|[^\\w.])({_NUMBER})', 1)) as v, false from texts),
+  vals as (select * exclude (v), trim(v) as v from found where is_date or not (bare and regexp_matches(trim(v), '^(?:19|20)\\d{{2}}$')))"""
+
+
+@add("ext_11_table_columns", f"""with {_VALUES} select document_id, block_id, column_no, v as value_text, 'Table column: ' || header as qualifier, row_name as metric_raw from vals where is_table""")
 def table_columns(spark, sf):
-    """The value of the second column of every table row with its header and row name."""
+    """Every value of every table row with its column, the column's header and the row's name."""
     tables = report_blocks(spark, sf).where("block_type = 'table'").select("document_id", "block_id", F.col("text").alias("segment_text"), F.lit(1).alias("page"))
-    return extract.facts(extract.sentences(tables)).where("column_no = 1").select("document_id", "block_id", "value_text", "qualifier", "metric_raw")
+    return extract.facts(extract.sentences(tables)).select("document_id", "block_id", F.col("column_no").cast("bigint").alias("column_no"), "value_text", "qualifier", "metric_raw")
 
 
 @add("ext_12_fallback_metrics")
@@ -373,14 +385,17 @@ def fallback_metrics(spark, sf):
     return facts.select("document_id", "chunk_id", "value_start", "metric_raw", "value_text")
 
 
-@add("ext_13_units_and_values", f"""with {_SENTENCES}, n as (select document_id, block_id, sentence, unnest(regexp_extract_all(sentence, '\\$[0-9,]+ million')) as value_text,
-  len(list_distinct(regexp_extract_all(sentence, '\\b(?:19|20)\\d{{2}}\\b'))) as years, regexp_extract(sentence, '\\b(?:19|20)\\d{{2}}\\b') as year from s)
-select document_id, block_id, value_text, 'USD million' as unit, cast(replace(regexp_extract(value_text, '[0-9,]+'), ',', '') as double) as value_numeric,
-  case when years = 1 then year end as period, 0.6::double as confidence from n""")
+_SYMBOLS = "case symbol " + " ".join(f"when '{symbol}' then '{code}'" for symbol, code in extract.CURRENCY_SYMBOLS.items()) + " else symbol end"
+
+
+@add("ext_13_units_and_values", f"""with {_VALUES}, parts as (select *, regexp_extract(v, '(?i)^([$€£₹]|USD|EUR|GBP|INR)', 1) as symbol,
+    regexp_extract(v, '(?i)(thousand|million|billion|crore|lakh)', 1) as scale, regexp_extract(v, '(?i)(%|percent|employees|people|units|tonnes|kg|km|MW)$', 1) as thing from vals)
+select document_id, block_id, v as value_text, case when not is_date then nullif(array_to_string(list_filter([{_SYMBOLS}, scale, thing], lambda x: x <> ''), ' '), '') end as unit,
+  case when not is_date then cast(replace(regexp_extract(v, '[+-]?[0-9][0-9,]*(?:\\.[0-9]+)?'), ',', '') as double) end as value_numeric,
+  case when not is_date and len(years) = 1 then years[1] end as period, 0.6::double as confidence from parts""")
 def units_and_values(spark, sf):
-    """Money values of all report sentences: unit, number, period and confidence."""
-    return extract.facts(_sentences(spark, sf)).where("unit = 'USD million'").select(
-        "document_id", "block_id", "value_text", "unit", "value_numeric", "period", "confidence")
+    """All values of all report sentences and table rows: unit, number, period and confidence."""
+    return extract.facts(_sentences(spark, sf)).select("document_id", "block_id", "value_text", "unit", "value_numeric", "period", "confidence")
 
 
 _VALID = f"""with p as ({sql.PERIODS}), r as (select claim_id, period, o_orderpriority as unit, trim(substr(o_orderpriority, 1, 1)) as digit from p join orders on claim_id = 'c' || lpad(cast(o_orderkey as varchar), 10, '0'))"""
@@ -427,11 +442,31 @@ def content_hashes(spark, sf):
     return derived.table(spark, sf, "documents").select("doc_id", tx.content_hash(windows).alias("content_hash"))
 
 
+def _two_runs(spark, sf):
+    """The document chunks extracted twice, by two runs that share a cache."""
+    cache = reuse.ExtractionCache(spark, f"{work_dir(spark)}/cache")
+    return cache, [cache.extract(line_chunks(spark, sf), run) for run in range(2)]
+
+
 @add("ext_18_reused_extractions")
 def reused_extractions(spark, sf):
-    """Facts of the document chunks, extracted once per distinct content and bound to every copy."""
-    claims, _ = extract.extract_distinct(line_chunks(spark, sf))
-    return claims.select("document_id", "chunk_id", "value_text", "source_page", "extraction_key")
+    """Claims and errors of the document chunks in a second run, which finds every content in the cache."""
+    _, (_, second) = _two_runs(spark, sf)
+    claims = second.claims.select("document_id", "chunk_id", "value_text", "source_page", "extraction_key", F.lit(None).cast("string").alias("message"))
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("value_text", "string"), ("source_page", "int"), ("extraction_key", "string"))]
+    return claims.unionByName(second.errors.select("document_id", F.col("item_id").alias("chunk_id"), *none, "message"))
+
+
+@add("ext_18_stored_contents", f"""{SPLIT_LINES}, seg as (select content as t from split where page_start = page_end union all
+  select substr(s.content, m.chunk_char_start + 1, m.chunk_char_end - m.chunk_char_start) from split s join met m on m.document_id = s.document_id and m.page_batch = s.page_batch and m.n = s.n where s.page_start <> s.page_end)
+select sha256(t) as text_hash, count(*) as places, 1::bigint as extracted, 0::bigint as last_run from seg group by t""")
+def stored_contents(spark, sf):
+    """Every evidence text: its places, how often two runs over all of them extracted it, and the run that did."""
+    cache, _ = _two_runs(spark, sf)
+    places, _ = extract.content_places(line_chunks(spark, sf), cache.namespace)
+    counted = places.groupBy("content_key", F.sha2("segment_text", 256).alias("text_hash")).agg(F.count(F.lit(1)).alias("places"))
+    runs = cache.keys.read().groupBy("content_key").agg(F.count(F.lit(1)).alias("extracted"), F.max("run").alias("last_run"))
+    return counted.join(runs, "content_key", "left").drop("content_key")
 
 
 @add("ext_19_stored_confidence", """select l_orderkey, l_partkey, l_suppkey, round(cast(l_discount as decimal(20,10)) * cast(0.12345 as decimal(6,5)) + cast(l_tax as decimal(20,10)) / 2 , 4)::double as confidence from lineitem""")

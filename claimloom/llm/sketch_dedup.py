@@ -11,8 +11,9 @@ Documents with the same words in the same order are one class; the join runs ove
 2. Every list links its members to one hub.  What the lists say of a pair - how many retained values both have from this one on - rules out most
    pairs; the union sketch estimates the others, and pairs below ``least_shared`` go.
 3. Pairs that are left are verified on the full sets (a sketch that holds its whole set is the full set).
-4. Lists whose members are not in one component yet give their remaining pairs of members of different components, long lists in tiles, through
-   the same estimate and verification.  No pair inside a component is formed, so a group of thousands of copies costs one pair per member.
+4. Members of lists that do not lie in one component yet get sketches ``LONGER`` times as long, whose estimate is sharper and which hold most sets
+   whole, and lists of their own.  Those give the remaining pairs of members of different components, long lists in tiles, to the
+   same estimate and verification.  No pair inside a component is formed, so a group of thousands of copies costs one pair per member.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from claimloom.session import materialize
 
 SHINGLE, PERCENT = 4, 80
 SKETCH = 128
+LONGER = 8
 MISS = 1e-18
 TILE = 2048
 BROADCAST_CLASSES = 1_000_000  # 40 bytes each
@@ -101,17 +103,16 @@ def estimated(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> Dat
     """(a, b, sure): the pairs whose union sketch allows the similarity; ``sure`` where both sketches are whole sets and reach it."""
     side = lambda node, name: classes.select(F.col("node").alias(node), F.col("size").alias(f"size_{node}"), F.col("sketch").alias(name))
     both = pairs.join(side("a", "left"), "a").join(side("b", "right"), "b")
-    union = F.sort_array(F.array_union("left", "right"))
-    met = (both.withColumn("union", union).withColumn("met", F.array_intersect("left", "right"))
-           .withColumn("last", F.coalesce(F.get("union", F.lit(k - 1)), F.element_at("union", -1)))
-           .withColumn("shared", F.size(F.filter("met", lambda x: x <= F.col("last")))))
+    met = both.withColumn("union", F.sort_array(F.array_union("left", "right"))).withColumn("met", F.array_intersect("left", "right"))
+    shared = F.size(F.array_intersect("met", F.slice("union", 1, k)))
     whole = (F.col("size_a") <= k) & (F.col("size_b") <= k)
     reached = 100 * F.size("met") >= percent * F.size("union")
-    return met.where(F.when(whole, reached).otherwise(F.col("shared") >= least_retained(k, percent))).select("a", "b", whole.alias("sure"))
+    return met.where(F.when(whole, reached).otherwise(shared >= least_retained(k, percent))).select("a", "b", whole.alias("sure"))
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(node, set) of the ``wanted`` (doc_id, node, digest), from their whole texts; one row per node."""
+    """(node, set) of the ``wanted`` (doc_id, node, digest), from their whole texts, stored; one row per node."""
+    wanted = materialize(wanted, "wanted")
     named = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_CLASSES else wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]))
 
     def work(batches):
@@ -121,26 +122,27 @@ def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                     if sequence_digest(words) == digest]  # an id may name several texts
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["node", "set"])
 
-    return named.select("node", "digest", "text").mapInArrow(work, "node bigint, set array<bigint>").dropDuplicates(["node"])
+    return materialize(named.select("node", "digest", "text").mapInArrow(work, "node bigint, set array<bigint>").dropDuplicates(["node"]), "sets")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, k: int, percent: int) -> DataFrame:
-    """(a, b) of the candidate ``pairs`` that reach the similarity, stored."""
-    likely = materialize(estimated(pairs, classes, k, percent), "likely")
-    open_ = likely.where(~F.col("sure"))
-    nodes = open_.select(F.col("a").alias("node")).union(open_.select("b")).distinct()
-    sets = materialize(full_sets(docs, materialize(classes.join(nodes, "node").select("doc_id", "node", "digest"), "needed"), n), "sets")
+def reaching(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the ``pairs`` whose full ``sets`` reach the similarity."""
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("left"))
     right = sets.select(F.col("node").alias("b"), F.col("set").alias("right"))
-    both = open_.join(left, "a").join(right, "b").withColumn("o", F.size(F.array_intersect("left", "right")))
-    reached = both.where(100 * F.col("o") >= percent * (F.size("left") + F.size("right") - F.col("o")))
-    return materialize(likely.where("sure").select("a", "b").union(reached.select("a", "b")), "edges")
+    both = pairs.join(left, "a").join(right, "b").withColumn("o", F.size(F.array_intersect("left", "right")))
+    return both.where(100 * F.col("o") >= percent * (F.size("left") + F.size("right") - F.col("o"))).select("a", "b")
+
+
+def named(nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    return classes.join(nodes, "node").select("doc_id", "node", "digest")
 
 
 def _possible(k: int, percent: int, size: str, after: str, other_size: str, other_after: str) -> Column:
     """Whether two members of a list can be linked, by their sizes and by the values they retain from this one on."""
     p, q = F.col(size), F.col(other_size)
-    enough = F.least(after, other_after) >= F.greatest(least_shared(p, k, percent), least_shared(q, k, percent))
+    most = F.least(after, other_after)
+    whole = (100 + percent) * most >= percent * (p + q)
+    enough = F.when((p <= k) & (q <= k), whole).otherwise(most >= F.greatest(least_shared(p, k, percent), least_shared(q, k, percent)))
     return enough & (100 * F.least(p, q) >= percent * F.greatest(p, q))
 
 
@@ -150,22 +152,53 @@ def star_pairs(lists: DataFrame, k: int, percent: int) -> DataFrame:
     return near.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def cross_pairs(lists: DataFrame, labels: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b): members of one list in different components, hubs excepted, where they can be linked; long lists meet in tiles."""
-    placed = materialize(lists.where((F.col("members") > 2) & (F.col("node") != F.col("hub"))).join(labels, "node", "left")
-                         .select("token", "node", "size", "after", "members", F.coalesce("label", "node").alias("label")), "placed")
+def open_classes(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, label) of the members, hubs excepted, of lists whose members are not all in one component; stored."""
+    placed = (lists.where((F.col("members") > 2) & (F.col("node") != F.col("hub"))).select("token", "node").join(labels, "node", "left")
+              .select("token", "node", F.coalesce("label", "node").alias("label")))
+    placed = materialize(placed, "placed")
     mixed = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
+    return materialize(placed.join(mixed, "token").select("node", "label").distinct(), "open")
+
+
+def cross_pairs(lists: DataFrame, labels: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): members of one list in different components, where they can be linked.
+
+    In a list, the members outside its largest component meet all members, so a list that lies in one component but for a few members
+    costs these few times its length.  Long lists meet in tiles.
+    """
     tiles = F.ceil(F.col("members") / TILE).cast("int")
-    open_ = placed.join(mixed, "token").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    # a tile meets itself and those after it
-    left = open_.withColumn("meets", F.explode(F.sequence(F.col("tile"), F.col("tiles") - 1)))
-    right = (open_.withColumn("first", F.explode(F.sequence(F.lit(0), F.col("tile"))))
-             .select("token", F.col("first").alias("tile"), F.col("tile").alias("meets"), *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "after", "label")]))
-    once = (F.col("tile") < F.col("meets")) | (F.col("node") < F.col("node_b"))
+    placed = materialize(lists.join(labels, "node").select("token", "node", "size", "after", "label", tiles.alias("tiles"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("tile")), "placed")
+    largest = (placed.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max(F.struct("n", "label")).alias("m"), F.count(F.lit(1)).alias("labels"))
+               .where("labels > 1").select("token", F.col("m.label").alias("largest")))
+    dealt = placed.join(largest, "token")
+    every_tile = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    left = dealt.where("label <> largest").withColumn("meets", every_tile)
+    right = dealt.withColumn("first", every_tile).select("token", F.col("first").alias("tile"), F.col("tile").alias("meets"), *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "after", "label")])
+    once = (F.col("label_b") == F.col("largest")) | (F.col("node") < F.col("node_b"))
     pairs = left.join(right, ["token", "tile", "meets"]).where(once & (F.col("label") != F.col("label_b")) & _possible(k, percent, "size", "after", "size_b", "after_b"))
     return pairs.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
 
 
+def links(docs: DataFrame, classes: DataFrame, n: int, k: int, percent: int) -> DataFrame:
+    """Verified edges (a, b) between classes that connect every two linked classes."""
+    lists = inverted_lists(classes, k, percent)
+    likely = materialize(estimated(star_pairs(lists, k, percent), classes, k, percent), "likely")
+    unsure = likely.where(~F.col("sure")).select("a", "b")
+    sets = full_sets(docs, named(unsure.select(F.col("a").alias("node")).union(unsure.select("b")).distinct(), classes), n)
+    edges = materialize(likely.where("sure").select("a", "b").union(reaching(unsure, sets, percent)), "edges")
+
+    labels = open_classes(lists, components(edges))
+    if not labels.head(1):
+        return edges
+    sets = full_sets(docs, named(labels.select("node"), classes), n)
+    longer = sets.select("node", F.size("set").cast("bigint").alias("size"), F.slice("set", 1, LONGER * k).alias("sketch"))
+    lists = inverted_lists(longer, LONGER * k, percent)
+    likely = materialize(estimated(cross_pairs(lists, labels, LONGER * k, percent), longer, LONGER * k, percent), "likely")
+    more = likely.where("sure").select("a", "b").union(reaching(likely.where(~F.col("sure")).select("a", "b"), sets, percent))
+    return edges.union(materialize(more, "edges"))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, percent: int = PERCENT, k: int = SKETCH) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row: the smallest id reachable by links of at least ``percent`` per cent.
 
@@ -178,15 +211,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     told = materialize(sketches(docs, n, k), "sketches")
     classes = materialize(told.where("size > 0").groupBy("digest").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"))
                           .withColumn("node", F.monotonically_increasing_id()), "classes")
-    lists = inverted_lists(classes, k, percent)
-    edges = verified(star_pairs(lists, k, percent), docs, classes, n, k, percent)
-    rest = materialize(cross_pairs(lists, components(edges), k, percent), "rest")
-    if rest.head(1):
-        edges = edges.union(verified(rest, docs, classes, n, k, percent))
     roots = classes.select("node", "digest", "doc_id")
-    named = components(edges).join(roots, "node")
-    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    found = named.join(least, "label").select("digest", "component_id")
+    labelled = components(links(docs, classes, n, k, percent)).join(roots, "node")
+    least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    found = labelled.join(least, "label").select("digest", "component_id")
     all_ = roots.join(found, "digest", "left").select("digest", F.coalesce("component_id", "doc_id").alias("component_id"))
     of_row = F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return (told.select("doc_id", "digest", "size").join(all_, "digest", "left")

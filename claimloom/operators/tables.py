@@ -95,8 +95,9 @@ class Snapshot:
 class AppendTable:
     """A parquet table that grows by one folder per batch id; a replayed batch overwrites its own folder."""
 
-    def __init__(self, spark: SparkSession, path: str, schema):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, path: str, schema: StructType | str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def write(self, df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")

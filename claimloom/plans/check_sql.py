@@ -222,11 +222,10 @@ verdicts as (select document_id, claim_a_id, claim_b_id, score, split_part(verdi
   'rules' as source, a.entity_n as entity_a, b.entity_n as entity_b, a.metric_n as metric_a, b.metric_n as metric_b,
   a.value_text as value_a, b.value_text as value_b from scored)"""
 
-LINKS = f"""{LABELLED},
-ordered as (select document_id, claim_id, cast(substr(claim_id, 2) as bigint) as k,
-  lead(claim_id) over (partition by document_id, entity_n order by claim_id) as next_id from sides),
-links as (select document_id, claim_id, next_id as neighbour_id, 0.5::double + cast(k % 50 as double) / 100.0::double as similarity from ordered where next_id is not null
-  union all select document_id, next_id, claim_id, 0.4::double + cast(k % 60 as double) / 100.0::double from ordered where next_id is not null),
+def linked(links: str) -> str:
+    """Merged and scored pairs, given the text of ``links (document_id, claim_id, neighbour_id, similarity)`` over ``sides``."""
+    return f"""{LABELLED},
+{links}
 semantic as (select document_id, least(claim_id, neighbour_id) as claim_a_id, greatest(claim_id, neighbour_id) as claim_b_id,
   greatest(0.0::double, max(similarity)) as similarity from links group by 1, 2, 3),
 merged as (select coalesce(s.document_id, m.document_id) as document_id, coalesce(s.claim_a_id, m.claim_a_id) as claim_a_id,
@@ -236,7 +235,15 @@ merged as (select coalesce(s.document_id, m.document_id) as document_id, coalesc
 all_pairs as (select m.*, a, b, {PERIOD_REL} as period_relation from merged m
   join sides a on a.document_id = m.document_id and a.claim_id = m.claim_a_id
   join sides b on b.document_id = m.document_id and b.claim_id = m.claim_b_id),
-all_scored as (select *, {SCORE} as score, split_part({VERDICT}, '|', 1) as classification from all_pairs),
+all_scored as (select *, {SCORE} as score, split_part({VERDICT}, '|', 1) as classification from all_pairs)"""
+
+
+_NEXT_CLAIMS = """ordered as (select document_id, claim_id, cast(substr(claim_id, 2) as bigint) as k,
+  lead(claim_id) over (partition by document_id, entity_n order by claim_id) as next_id from sides),
+links as (select document_id, claim_id, next_id as neighbour_id, 0.5::double + cast(k % 50 as double) / 100.0::double as similarity from ordered where next_id is not null
+  union all select document_id, next_id, claim_id, 0.4::double + cast(k % 60 as double) / 100.0::double from ordered where next_id is not null),"""
+
+LINKS = f"""{linked(_NEXT_CLAIMS)},
 queue as (select * from (select document_id, claim_a_id, claim_b_id, claim_a_id || '/' || claim_b_id as candidate_id, score,
   row_number() over (partition by document_id order by score desc, claim_a_id, claim_b_id) as queue_rank
   from all_scored where classification = 'UNCERTAIN' and score >= 0.65) where queue_rank <= 10)"""

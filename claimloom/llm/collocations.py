@@ -8,8 +8,9 @@ sums the counts of all shorter phrases from those of the windows; no phrase leng
    that is wanted and end a window as a piece does.
 2. The windows are written in numbers.  A dictionary of checked size goes to every task, which shifts its columns and adds up equal windows;
    a larger one is joined to the words and the lead columns come from a window over (row, piece).
-3. Windows meet by their first two words.  Where these are a pair rarer than ``least``, only the first word is left of them.
-4. ROLLUP adds up prefixes; those of at least ``least`` occurrences are phrases.  Parts of a candidate occur as often as it does, so all
+3. Windows meet by their first two words, packed into one number as the last two are.  A window is cut behind its longest prefix that is not
+   rarer than ``least``: what lies behind it is in no phrase that is wanted.
+4. ROLLUP over the lead columns adds up prefixes; those of at least ``least`` occurrences are phrases.  Parts of a candidate occur as often as it does, so all
    parts are among them.
 
 Numbers are exact: counts are 64 bits, products decimals.
@@ -38,6 +39,7 @@ BUFFER = 1 << 20  # windows added up at once in a task
 ENDS = ".,;:!?\n\x0b\x0c\r"
 _END = b"\xff"  # a byte that no UTF-8 text holds
 _NUMBERS = [f"w{i}" for i in range(1, LONGEST + 1)]
+_PACKED = ["pair", "rest"]  # two numbers of 32 bits each
 _TABLE = bytes(0xFF if chr(b) in ENDS else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -96,12 +98,12 @@ def _leads(ids: np.ndarray) -> list[np.ndarray]:
 
 def _added_up(columns: list[np.ndarray]) -> pa.RecordBatch:
     """Distinct windows in order, with their counts."""
-    keys = [columns[i] << 32 | columns[i + 1] for i in range(0, LONGEST, 2)]  # numbers are below DICTIONARY_WORDS
+    keys = [columns[i] << 32 | columns[i + 1] for i in range(0, LONGEST, 2)]
     order = np.lexsort(keys[::-1])
     keys = [k[order] for k in keys]
     new = np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]))
     n = np.diff(np.append(new, len(order)))
-    return pa.RecordBatch.from_arrays([*[pa.array(c[order][new]) for c in columns], pa.array(n)], names=[*_NUMBERS, "n"])
+    return pa.RecordBatch.from_arrays([*[pa.array(k[new]) for k in keys], pa.array(n)], names=[*_PACKED, "n"])
 
 
 def _windows_by_dictionary(docs: DataFrame, words: DataFrame) -> DataFrame:
@@ -123,7 +125,7 @@ def _windows_by_dictionary(docs: DataFrame, words: DataFrame) -> DataFrame:
         if size:
             yield _added_up([np.concatenate(c) for c in zip(*waiting)])
 
-    return docs.select("lang", "text").mapInArrow(work, ", ".join(f"{c} bigint" for c in [*_NUMBERS, "n"]))
+    return docs.select("lang", "text").mapInArrow(work, ", ".join(f"{c} bigint" for c in [*_PACKED, "n"]))
 
 
 def _windows_by_join(docs: DataFrame, words: DataFrame) -> DataFrame:
@@ -135,11 +137,12 @@ def _windows_by_join(docs: DataFrame, words: DataFrame) -> DataFrame:
     in_piece = Window.partitionBy("row", "piece").orderBy("at")
     for i in range(2, LONGEST + 1):
         rows = rows.withColumn(f"w{i}", F.when(F.col(f"w{i - 1}") != 0, F.lead("w1", i - 1, 0).over(in_piece)).otherwise(0))
-    return rows.where("w1 <> 0").select(*_NUMBERS, F.lit(1).cast("bigint").alias("n"))
+    packed = [F.shiftleft(f"w{i}", 32).bitwiseOR(F.col(f"w{i + 1}")).alias(name) for i, name in zip((1, 3), _PACKED)]
+    return rows.where("w1 <> 0").select(*packed, F.lit(1).cast("bigint").alias("n"))
 
 
 def windows(docs: DataFrame, words: DataFrame, most_words: int = DICTIONARY_WORDS) -> DataFrame:
-    """(w1, ..., n): counts of the padded longest windows, in numbers of the dictionary; a window may have several rows."""
+    """(pair, rest, n): counts of the padded longest windows, in numbers of the dictionary; a window may have several rows."""
     size = words.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("word")), F.lit(0))).first()
     fits = size[0] <= most_words and size[1] <= DICTIONARY_BYTES
     return _windows_by_dictionary(docs, words) if fits else _windows_by_join(docs, words)
@@ -147,9 +150,13 @@ def windows(docs: DataFrame, words: DataFrame, most_words: int = DICTIONARY_WORD
 
 def phrase_counts(counted: DataFrame, least: int) -> DataFrame:
     """(w1, ..., length, f) of all phrases with at least ``least`` occurrences, 0 behind their end; stored."""
-    whole = counted.repartition("w1", "w2").groupBy(*_NUMBERS).agg(F.sum("n").alias("n"))  # dealt by the pair: no further exchange
-    rare = F.sum("n").over(Window.partitionBy("w1", "w2")) < least
-    cut = whole.withColumn("rare", rare).select("w1", *[F.when(F.col("rare"), 0).otherwise(F.col(c)).alias(c) for c in _NUMBERS[1:]], "n")
+    whole = counted.repartition("pair").groupBy(*_PACKED).agg(F.sum("n").alias("n"))  # dealt by the pair: no further exchange
+    first, last = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND((1 << 32) - 1))
+    opened = whole.select("pair", first("pair").alias("w1"), last("pair").alias("w2"), first("rest").alias("w3"), last("rest").alias("w4"), "n")
+    often = lambda *prefix: F.sum("n").over(Window.partitionBy("pair", *prefix)) >= least
+    told = opened.withColumn("often3", often("w3")).withColumn("often2", often())
+    lasts = {"w2": F.col("often2"), "w3": F.col("often2") & F.col("often3"), "w4": F.col("often2") & F.col("often3") & (F.col("n") >= least)}
+    cut = told.select("w1", *[F.when(frequent, F.col(c)).otherwise(0).alias(c) for c, frequent in lasts.items()], "n")
     summed = cut.rollup(*_NUMBERS).agg(F.sum("n").alias("f"), F.grouping_id().alias("rolled"))
     length = sum(F.col(c).isNotNull().cast("int") for c in _NUMBERS)
     # a prefix that ends in padding belongs to a shorter phrase, whose own row counts it

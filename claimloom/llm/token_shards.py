@@ -92,7 +92,8 @@ def write_shards(docs: DataFrame, path: str, rank_file: str, pattern: str, key:
 def read_records(spark: SparkSession, path: str, first: int = 0) -> DataFrame:
     """(shard, shard_record, record, ids binary) in training order from global record ``first`` on."""
     files = spark.read.format("binaryFile").load(path).where("path like '%part-%'").select("path", "length")
-    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
+    number = F.regexp_extract("path", "part-([0-9]+)", 1).cast("bigint")  # names do not sort beyond 99,999 shards
+    before = Window.orderBy(number).rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
     index = files.withColumn("records", F.floor(F.col("length") / STRIDE)).withColumn("start", F.coalesce(F.sum("records").over(before), F.lit(0)))
     wanted = index.where(F.col("start") + F.col("records") > first).select("path", "start")
     rows = spark.read.format("binaryFile").load(path).select("path", "content").join(wanted, "path")
@@ -121,14 +122,14 @@ def shard_documents(spark: SparkSession, path: str) -> DataFrame:
                 starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
                 sums = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), (ends + 1).tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard] * len(ends), pa.string()), pa.array(np.arange(len(ends)), pa.int64()), pa.array(starts, pa.int64()),
+                    [pa.array([shard] * len(ends), pa.int64()), pa.array(np.arange(len(ends)), pa.int64()), pa.array(starts, pa.int64()),
                      pa.array(ends + 1 - starts, pa.int64()), pa.array(sums, pa.int64())], names=["shard", "number", "start", "length", "ids_crc32"])
 
-    found = (spark.read.format("binaryFile").load(path).where("path like '%part-%'").select(F.regexp_extract("path", "part-([0-9]+)", 1).alias("shard"), "content")
-             .mapInArrow(work, "shard string, number bigint, start bigint, length bigint, ids_crc32 bigint"))
+    found = (spark.read.format("binaryFile").load(path).where("path like '%part-%'").select(F.regexp_extract("path", "part-([0-9]+)", 1).cast("bigint").alias("shard"), "content")
+             .mapInArrow(work, "shard bigint, number bigint, start bigint, length bigint, ids_crc32 bigint"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
     bases = found.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return found.join(bases, "shard").select((F.col("base") + F.col("number")).alias("slot"), F.col("shard").cast("bigint").alias("shard"), "start", "length", "ids_crc32")
+    return found.join(bases, "shard").select((F.col("base") + F.col("number")).alias("slot"), "shard", "start", "length", "ids_crc32")
 
 
 def training_order(docs: DataFrame, path: str, rank_file: str, pattern: str, key: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

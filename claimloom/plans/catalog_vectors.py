@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.operators import similar
+from claimloom.operators import similar, vector_index
 from claimloom.plans import check_sql as sql
 from claimloom.plans.catalog import Catalog, claims_n
 from claimloom.sources import derived
@@ -134,10 +134,18 @@ def fresh_neighbours(spark, sf):
 
 @add("emb_10_approximate_neighbours")
 def approximate_neighbours(spark, sf):
-    found = similar.approximate_neighbours(vector_claims(spark, sf), threshold=THRESHOLD)
+    found = vector_index.index_neighbours(vector_claims(spark, sf), threshold=THRESHOLD).neighbours
     return found.select("document_id", "claim_id", "neighbour_id", F.round("similarity", 6).alias("similarity"))
 
 
+@add("emb_10_index_quality")
+def index_quality(spark, sf):
+    """Per document: recall of the index against the exact search, and the comparisons of both."""
+    vectors = vector_claims(spark, sf)
+    found = vector_index.index_neighbours(vectors, threshold=THRESHOLD)
+    return vector_index.measured(vectors, found, similar.top_neighbours(vectors, threshold=THRESHOLD))
+
+
 @add("snk_06_saved_embeddings", f"""with {sql.SIDES} select claim_id, case when vec_id is null then 'old' else 'given' end as embedding_model,
   case when vec_id is null then 'old' else 'v' || cast(vec_id as varchar) end as embedding_text_hash, round(coalesce(embedding[1]::double, 0.0::double), 5) as first_value
 from sides left join embeddings on vec_id = cast(substr(claim_id, 2) as bigint)""")

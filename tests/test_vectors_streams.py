@@ -1,9 +1,12 @@
+import random
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from claimloom.operators import similar, tables
-from claimloom.plans import catalog, catalog_vectors
+from claimloom.operators import normalize, pairs, similar, tables, vector_index, verdicts
+from claimloom.plans import catalog, catalog_streams, catalog_vectors
+from claimloom.session import materialize
 from claimloom.sources import derived
 from claimloom.streaming import increments
 
@@ -38,11 +41,35 @@ def test_neighbours_equal_brute_force_for_any_tile_size(spark):
         assert sorted((r.claim_id, r.neighbour_id) for r in got.collect()) == want
 
 
-def test_approximate_neighbours_find_most(spark):
+def grouped_vectors(spark, n=1200, groups=40):
+    """Vectors around some centres, most of them in one document; a few nulls."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(groups, 16))
+    rows = [("hot" if i % 5 else f"d{i % 3}", "ns", f"c{i:05d}", [float(x) for x in centres[i % groups] + 0.25 * rng.normal(size=16)] if i % 97 else None) for i in range(n)]
+    return spark.createDataFrame(rows, "document_id string, namespace string, claim_id string, vector array<float>")
+
+
+def test_index_finds_most_with_few_comparisons(spark):
+    """Where vectors form groups; lists longer than a tile are split; similarities are those of the exact search."""
+    df = grouped_vectors(spark)
+    exact = similar.top_neighbours(df, k=5, threshold=0.5)
+    found = vector_index.index_neighbours(df, k=5, threshold=0.5, probe_share=0.1, tile_rows=16)
+    rows = {r.document_id: r for r in vector_index.measured(df, found, exact).collect()}
+    hot = rows["hot"]
+    assert hot.neighbours > 4000 and hot.recall >= 0.9 and hot.comparisons < 0.25 * hot.exact_comparisons
+    wanted = {(r.claim_id, r.neighbour_id): r.similarity for r in similar.top_neighbours(df, k=1000, threshold=0.5).collect()}
+    near = found.neighbours.collect()
+    assert all(abs(wanted[r.claim_id, r.neighbour_id] - r.similarity) < 1e-9 for r in near) and len({(r.claim_id, r["rank"]) for r in near}) == len(near)
+
+
+def test_index_that_looks_everywhere_is_exact(spark):
     rows, df = vectors(spark)
-    exact = {(r.claim_id, r.neighbour_id) for r in similar.top_neighbours(df, k=5, threshold=0.6).collect()}
-    near = {(r.claim_id, r.neighbour_id) for r in similar.approximate_neighbours(df, k=5, threshold=0.6, bucket_length=2.0, tables=8).collect()}
-    assert len(exact & near) >= 0.8 * len(exact)
+    key = ["document_id", "claim_id", "neighbour_id", "rank"]
+    found = vector_index.index_neighbours(df, k=5, threshold=0.2, probe_share=1.0, tile_rows=8)
+    assert sorted(found.neighbours.select(*key).collect()) == sorted(similar.top_neighbours(df, k=5, threshold=0.2).select(*key).collect())
+    assert all(r.comparisons == r.exact_comparisons and r.recall == 1 for r in vector_index.measured(df, found, similar.top_neighbours(df, k=5, threshold=0.2)).collect())
+    empty = vector_index.index_neighbours(df.limit(0))
+    assert empty.neighbours.count() == 0 and empty.comparisons.count() == 0
 
 
 def test_each_text_is_embedded_once(spark):
@@ -108,6 +135,46 @@ def test_pool_equals_batch_after_restart_and_replay(spark, sf, tmp_path):
     assert stored.count() == expected.count() and stored.exceptAll(expected).count() == 0
 
 
+def test_new_and_stored_vectors_give_the_lists_of_one_search(spark):
+    """Batches of any order: the best of the stored lists and of the new matches are the best of all; stored vectors meet new ones only."""
+    rng = random.Random(8)
+    rows = [(rng.choice(["d1", "d1", "d2"]), "n", f"c{i:03}", [rng.choice([0.0, 1.0, 2.0, -1.0]) for _ in range(4)] if i % 17 else None) for i in range(150)]
+    rows = [r for r in rows if r[3] is None or any(r[3])]
+    schema = "document_id string, namespace string, claim_id string, vector array<double>"
+    how = {"k": 4, "threshold": 0.1, "tile_rows": 8}
+    found = lambda lists: sorted((r.claim_id, r.neighbour_id, r["rank"]) for r in lists.collect())
+    wanted = found(similar.top_neighbours(spark.createDataFrame(rows, schema), **how))
+    rng.shuffle(rows)
+    stored, lists = spark.createDataFrame([], schema), None
+    for part in (rows[:60], rows[60:61], rows[61:]):
+        new = spark.createDataFrame(part, schema)
+        across = similar.matches_across(new, stored, **how)
+        ids = {r[2] for r in part}
+        assert all((r.claim_id in ids) != (r.neighbour_id in ids) for r in across.collect())
+        matches = similar.matches_within(new, **how).unionByName(across)
+        lists = materialize(similar.best_matches(matches if lists is None else matches.unionByName(lists.drop("rank")), 4), "lists")
+        stored = stored.unionByName(new)
+    assert found(lists) == wanted
+
+
+def test_semantic_pool_equals_batch_after_replay(spark, sf, tmp_path):
+    claims = materialize(derived.order_claims(spark, sf).where("claim_id < 'c0000000500'"), "some_claims")
+    pool = catalog_streams.semantic_pool(spark, sf, str(tmp_path), tile_rows=4)
+    parts = [claims.where(F.pmod(F.xxhash64("claim_id"), F.lit(3)) == i) for i in range(3)]
+    for batch_id in (0, 1, 1, 2):
+        pool.step(parts[batch_id], batch_id)
+    stored = normalize.accepted(normalize.normalize_claims(claims))
+    sides = materialize(pairs.sides(stored), "sides")
+    lists = similar.top_neighbours(catalog_streams.given_vectors(spark, sf)(stored), k=3, threshold=0.0)
+    key = ["document_id", "claim_id", "neighbour_id", "rank"]
+    assert sorted(pool.neighbours().select(*key).collect()) == sorted(lists.select(*key).collect()) and lists.count() > 20
+    labelled = pairs.labelled(pairs.pairs_of(sides))
+    merged = pairs.merge_pairs(labelled.select(*pairs.pair_ids(labelled), "preliminary_classification"), pairs.best_similarity(lists))
+    judged = verdicts.judged(pairs.scored(pairs.pairs_by_key(merged, sides), F.col("similarity")))
+    key = ["document_id", "claim_a_id", "claim_b_id", "classification", F.round("score", 9)]
+    assert sorted(pool.all_verdicts().select(*key).collect()) == sorted(judged.select(*key).collect())
+
+
 def test_entry_contract(spark):
     import __spark_entry__ as entry
     names = set(entry.queries())

@@ -3,11 +3,13 @@
 The index of a document has about as many lists as the square root of its vectors (a power of four between LEAST_LISTS and MOST_LISTS), each around
 one centroid; documents of like size share their centroids.  Centroids are fitted by Lloyd's steps on a bounded sample (SAMPLE_ROWS of the
 vectors, by hash): tasks send partial sums, one row per centroid comes back.  Every vector of every document stands in the list of its nearest centroid,
-looks into the lists of its ``probe_share`` nearest ones, and is compared there exactly; only neighbours in other lists are missed.
-Lists meet their searchers in tiles, so a list that holds most of a document is many tasks.
+looks into the lists of its nearest centroids, and is compared there exactly; only neighbours in other lists are missed.  Lists meet their
+searchers in tiles, so a list that holds most of a document is many tasks.
 
-How much that saves depends on the vectors.  Where they form groups, few lists hold all neighbours; where they lie at random, as the given ones
-do, neighbours lie in any list, and nine of ten need almost half of them.  ``measured`` says what was found and compared.
+How many lists are looked into is measured, not guessed: SAMPLE_SEARCHES vectors are searched exactly, and the places that the lists of their
+neighbours have in their own order give the least number that holds the wanted share of neighbours.  Where vectors form groups that is a few
+lists; where they lie at random, as the given ones do, neighbours lie in any list and little is saved.  ``measured`` says what was found
+and compared.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ from claimloom.session import materialize
 LEAST_LISTS, MOST_LISTS = 16, 4096
 SAMPLE_ROWS = 65_536
 ROUNDS = 6
-PROBE_SHARE = 0.45
+SAMPLE_SEARCHES = 512
+RECALL = 0.95
 KEY = ["document_id", "namespace"]
 MATCHES = similar.NEIGHBOURS
 
@@ -66,10 +69,8 @@ def train(vectors: DataFrame, lists: int, rounds: int = ROUNDS, sample_rows: int
     return centroids
 
 
-def _placed(vectors: DataFrame, centroids: np.ndarray, probe_share: float) -> DataFrame:
-    """``vectors`` with the number of their list and of the lists they look into, nearest first."""
-    probes = max(1, math.ceil(probe_share * len(centroids)))
-
+def _placed(vectors: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
+    """``vectors`` with the number of their list and of the ``probes`` lists they look into, nearest first."""
     def nearest(frames):
         for frame in frames:
             order = np.argsort(-(_unit(frame["vector"]) @ centroids.T), axis=1, kind="stable")[:, :probes]
@@ -78,6 +79,19 @@ def _placed(vectors: DataFrame, centroids: np.ndarray, probe_share: float) -> Da
     return vectors.mapInPandas(nearest, "document_id string, namespace string, claim_id string, vector array<float>, list int, looks array<int>")
 
 
+def probes_for(vectors: DataFrame, centroids: np.ndarray, recall: float, *, k: int, threshold: float, tile_rows: int) -> int:
+    """The least number of lists that holds the share ``recall`` of the neighbours of a sample, which is searched exactly."""
+    order = F.xxhash64("claim_id", *KEY)
+    sample = materialize(vectors.orderBy(order, "claim_id").limit(SAMPLE_SEARCHES), "searches")
+    both_ways = similar.matches_across(sample, vectors.join(sample.select(*KEY).distinct(), KEY, "left_semi"), k=k + 1, threshold=threshold, tile_rows=tile_rows)
+    asked = both_ways.where(F.col("claim_id") != F.col("neighbour_id")).join(sample.select("document_id", "claim_id"), ["document_id", "claim_id"], "left_semi")
+    orders = _placed(sample, centroids, len(centroids)).select("document_id", "claim_id", "looks")
+    homes = _placed(vectors, centroids, 1).select("document_id", F.col("claim_id").alias("neighbour_id"), "list")
+    near = similar.best_matches(asked.distinct(), k).join(orders, ["document_id", "claim_id"]).join(homes, ["document_id", "neighbour_id"])
+    place = near.agg(F.expr(f"percentile(array_position(looks, list), {float(recall)})")).first()[0]
+    return max(1, math.ceil(place or 1))
+
+
 def _search(k: int, threshold: float):
     def best(group: pd.DataFrame) -> pd.DataFrame:
         (ids, a), (others, b) = (similar._unit_rows(group[group["looking"] == side]) for side in (True, False))
@@ -91,11 +105,11 @@ def _search(k: int, threshold: float):
     return best
 
 
-def index_neighbours(vectors: DataFrame, *, k: int = similar.TOP_K, threshold: float = similar.THRESHOLD, probe_share: float = PROBE_SHARE,
+def index_neighbours(vectors: DataFrame, *, k: int = similar.TOP_K, threshold: float = similar.THRESHOLD, recall: float = RECALL,
                      tile_rows: int = similar.TILE_ROWS, sample_rows: int = SAMPLE_ROWS) -> Found:
-    """Up to k neighbours of every claim in its document and namespace; similarities are exact, some neighbours may be missed.
+    """Up to k neighbours of every claim in its document and namespace; similarities are exact, about 1 - ``recall`` of them are missed.
 
-    Input: document_id, namespace, claim_id, vector (null: not in the index; one dimension per call).  An empty input gives an empty result.
+    With a ``recall`` of 1 all lists are looked into.  Input: document_id, namespace, claim_id, vector (null: not in the index; one dimension per call).  An empty input gives an empty result.
     """
     usable = materialize(vectors.where("vector is not null").select(*KEY, "claim_id", F.col("vector").cast("array<float>").alias("vector")), "usable")
     power = F.pow(F.lit(4.0), F.round(F.log(4.0, F.count(F.lit(1))) / 2))
@@ -103,7 +117,9 @@ def index_neighbours(vectors: DataFrame, *, k: int = similar.TOP_K, threshold: f
     placed = None
     for (lists,) in sizes.select("lists").distinct().orderBy("lists").collect():  # at most five values
         own = usable.join(sizes.where(F.col("lists") == lists), KEY).drop("lists")
-        part = materialize(_placed(own, train(own, lists, sample_rows=sample_rows), probe_share), "placed")
+        centroids = train(own, lists, sample_rows=sample_rows)
+        probes = len(centroids) if recall >= 1 else probes_for(own, centroids, recall, k=k, threshold=threshold, tile_rows=tile_rows)
+        part = materialize(_placed(own, centroids, probes), "placed")
         placed = part if placed is None else placed.unionByName(part)
     if placed is None:
         return Found(similar.top_neighbours(usable, k=k, threshold=threshold), usable.groupBy("document_id").agg(F.count(F.lit(1)).alias("comparisons")))

@@ -53,7 +53,7 @@ def test_index_finds_most_with_few_comparisons(spark):
     """Where vectors form groups; lists longer than a tile are split; similarities are those of the exact search."""
     df = grouped_vectors(spark)
     exact = similar.top_neighbours(df, k=5, threshold=0.5)
-    found = vector_index.index_neighbours(df, k=5, threshold=0.5, probe_share=0.1, tile_rows=16)
+    found = vector_index.index_neighbours(df, k=5, threshold=0.5, tile_rows=16)
     rows = {r.document_id: r for r in vector_index.measured(df, found, exact).collect()}
     hot = rows["hot"]
     assert hot.neighbours > 4000 and hot.recall >= 0.9 and hot.comparisons < 0.25 * hot.exact_comparisons
@@ -65,7 +65,7 @@ def test_index_finds_most_with_few_comparisons(spark):
 def test_index_that_looks_everywhere_is_exact(spark):
     rows, df = vectors(spark)
     key = ["document_id", "claim_id", "neighbour_id", "rank"]
-    found = vector_index.index_neighbours(df, k=5, threshold=0.2, probe_share=1.0, tile_rows=8)
+    found = vector_index.index_neighbours(df, k=5, threshold=0.2, recall=1.0, tile_rows=8)
     assert sorted(found.neighbours.select(*key).collect()) == sorted(similar.top_neighbours(df, k=5, threshold=0.2).select(*key).collect())
     assert all(r.comparisons == r.exact_comparisons and r.recall == 1 for r in vector_index.measured(df, found, similar.top_neighbours(df, k=5, threshold=0.2)).collect())
     empty = vector_index.index_neighbours(df.limit(0))

@@ -36,7 +36,7 @@ TERM_RANKS = 200
 SCALE = 1_000_000_000
 BLOCK = 1024
 TILE = 32
-BUFFER = 1 << 19  # distinct terms of groups added up at once in a task
+BUFFER = 1 << 20  # distinct terms of groups added up at once in a task
 FRONT = 1 << 21  # node pairs of one front
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -54,9 +54,9 @@ def term_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for lang, source, text in zip(*[c.to_pylist() for c in batch.columns]):
                 group = (lang or "", source or "")
-                terms = Counter((text or "").encode().translate(_TABLE).split())
+                terms = (text or "").encode().translate(_TABLE).split()
                 counts.setdefault(group, Counter({None: 0})).update(terms)
-                holders.setdefault(group, Counter()).update(terms.keys())
+                holders.setdefault(group, Counter()).update(set(terms))
             if sum(map(len, counts.values())) > BUFFER:
                 yield rows(counts, holders)
                 counts, holders = {}, {}

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from claimloom.llm import collocations, divergence, jaccard_join, shingles, sketch_dedup, top_k
+from claimloom.llm import collocations, divergence, jaccard_join, shingles, sketch_dedup, token_shards, top_k
 from odd import ODD, odd_documents
 from test_copies_and_search import brute_components, near_copies
 
@@ -129,7 +129,7 @@ def test_windows_of_both_ways_are_equal(spark):
     docs = odd_documents(spark, phrase_documents(2)).select("lang", "text")
     words = collocations.dictionary(collocations.word_counts(docs), 20)
     assert sorted(r[0] for r in words.select("number").collect()) == list(range(1, words.count() + 1))
-    total = lambda most: {tuple(r) for r in collocations.windows(docs, words, most).groupBy("w1", "w2", "w3", "w4").sum("n").collect()}
+    total = lambda most: {tuple(r) for r in collocations.windows(docs, words, most).groupBy("pair", "rest").sum("n").collect()}
     assert total(1) == total(10_000)
 
 
@@ -200,3 +200,12 @@ def test_equal_subtrees_are_one_node():
     assert [len(level[0]) for level in tree[1:]] == [4, 4, 3]  # with the empty node: (5,2) (1,0) (5,0); two halves of a and b and one of c; two roots
     pair, n, m, times = divergence._count_pairs(roots, tree, np.array([0, 0]), np.array([1, 2]))
     assert sorted(zip(pair.tolist(), n.tolist(), m.tolist(), times.tolist())) == [(0, 1, 1, 1), (0, 2, 2, 2), (0, 5, 5, 2), (1, 5, 5, 1)]
+
+
+def test_shards_beyond_five_digits_stay_in_order(spark, tmp_path):
+    for number, value in ((99_999, 1), (100_000, 2)):
+        ids = np.array([value, token_shards.END_ID] + [token_shards.FILL] * (token_shards.RECORD_IDS - 2), "<u2")
+        (tmp_path / f"part-{number:05d}-x.txt").write_bytes(ids.tobytes() + b"\n")
+    rows = token_shards.read_records(spark, str(tmp_path)).orderBy("record").collect()
+    assert [int(np.frombuffer(bytes(r["ids"]), "<u2")[0]) for r in rows] == [1, 2]
+    assert sorted((r["slot"], r["shard"]) for r in token_shards.shard_documents(spark, str(tmp_path)).collect()) == [(0, 99_999), (1, 100_000)]

@@ -5,10 +5,12 @@ from decimal import Decimal
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from claimloom.operators import blocks, chunks, context, extract
-from claimloom.sources import intake, responses
+from claimloom.plans import catalog_documents
+from claimloom.sources import derived, intake, responses
 from claimloom.sources import text as ts
 
 SIZES = (80, 60, 100, 8)
@@ -272,3 +274,30 @@ def test_chunk_records_keep_corrupt_lines_apart(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"chunk_id":"a","page_start":7,"page_end":7,"text":"t","block_types":["paragraph"]}\nnot json\n')
     rows = responses.read_chunk_records(spark, str(tmp_path)).collect()
     assert [(r.chunk_id, r.page_start) for r in rows if r._corrupt is None] == [("a", 7)] and sum(r._corrupt is not None for r in rows) == 1
+
+
+# --- stages by page batch ----------------------------------------------------------------------
+
+def shuffled(df):
+    """Exchanges of the plan, the small side of a broadcast apart."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning") + plan.count("Exchange RoundRobin")
+
+
+def test_report_steps_read_stored_batches_without_a_shuffle(spark, sf):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rb, made = catalog_documents.report_blocks(spark, sf), catalog_documents.report_chunks(spark, sf)
+        for df in (context.neighbour_distances(rb), context.table_sections(rb), catalog_documents.table_context(spark, sf),
+                   chunks.sectioned(rb, chunks.bare_tables(rb)), extract.sentences(extract.evidence_segments(made.drop("seq")))):
+            assert shuffled(df) == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_report_items_are_dealt_once(spark, sf):
+    items = derived.report_batches(spark, sf)
+    order = Window.partitionBy(*blocks.BATCH).orderBy(*blocks.ORDER)
+    assert shuffled(items.withColumn("n", F.row_number().over(order))) == 1
+    assert items.rdd.getNumPartitions() == derived.slices(spark, sf, "lineitem")
+    assert items.drop("page_batch").exceptAll(derived.report_items(spark, sf)).count() == 0

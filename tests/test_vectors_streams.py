@@ -182,3 +182,13 @@ def test_entry_contract(spark):
     df = entry.entry(spark)
     assert df.columns[:3] == ["document_id", "claim_a_id", "claim_b_id"] and df.count() > 0
     assert isinstance(df.limit(3).toPandas(), pd.DataFrame)
+
+
+def test_one_micro_batch_takes_all_files_of_a_delivery(spark, tmp_path):
+    path, met = str(tmp_path / "incoming"), []
+    for _ in range(2):
+        rows = spark.range(0, 90, 1, 3)
+        rows.write.mode("append").parquet(path)
+        increments.run_available(increments.file_stream(spark, path, rows.schema, catalog_streams.ALL_FILES),
+                                 lambda batch, n: met.append((n, batch.count())), str(tmp_path / "checkpoint"))
+    assert met == [(0, 90), (1, 90)]

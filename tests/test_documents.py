@@ -301,3 +301,23 @@ def test_report_items_are_dealt_once(spark, sf):
     assert shuffled(items.withColumn("n", F.row_number().over(order))) == 1
     assert items.rdd.getNumPartitions() == derived.slices(spark, sf, "lineitem")
     assert items.drop("page_batch").exceptAll(derived.report_items(spark, sf)).count() == 0
+
+
+def test_report_claims_stay_where_their_page_batches_lie(spark, sf):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # what is sent whole here is joined at size
+    try:
+        whole, cut, of_tables = catalog_documents.report_claim_parts(spark, sf)
+        for part in (whole, of_tables):
+            assert shuffled(part) == shuffled(part.groupBy("document_id", "page_batch", "chunk_id").count()) == 0
+        assert cut.count() == 0  # no report run is longer than a chunk
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_runs_apart_give_the_chunks_of_all_runs(spark, sf):
+    """Runs that fit and runs that are cut, apart, against all at once."""
+    lines = catalog_documents.line_blocks(spark, sf)
+    sections = chunks.sectioned(lines, chunks.bare_tables(lines))
+    runs, fields = chunks.prose_runs(sections), ["document_id", "page_batch", "chunk_id", "overlap_characters"]
+    apart = [made(runs).select(*fields).collect() for made in (chunks.fitting_run_chunks, chunks.cut_run_chunks)]
+    assert all(apart) and sorted(apart[0] + apart[1]) == sorted(chunks.prose_chunks(sections).select(*fields).collect())

@@ -192,3 +192,11 @@ def test_one_micro_batch_takes_all_files_of_a_delivery(spark, tmp_path):
         increments.run_available(increments.file_stream(spark, path, rows.schema, catalog_streams.ALL_FILES),
                                  lambda batch, n: met.append((n, batch.count())), str(tmp_path / "checkpoint"))
     assert met == [(0, 90), (1, 90)]
+
+
+def test_micro_batches_of_several_files(spark, sf, tmp_path):
+    """A micro-batch has files for every core, and the number of micro-batches stays what was asked for."""
+    claims, cores = derived.order_claims(spark, sf), spark.sparkContext.defaultParallelism
+    path, files = catalog_streams.deliveries(claims, str(tmp_path), "claim_id", batches=2)
+    assert files >= cores and len(list((tmp_path / "incoming").glob("*.parquet"))) == 2 * files
+    assert spark.read.parquet(path).count() == claims.count()

@@ -200,11 +200,10 @@ def source_spans(spark, sf):
 from split s join met m on m.document_id = s.document_id and m.page_batch = s.page_batch and m.n = s.n""")
 def spans_of_cut_runs(spark, sf):
     """Spans of every document chunk, and whether the chunk text equals the block text at the span."""
-    c = line_chunks(spark, sf).select("document_id", "page_batch", "chunk_id", F.col("text").alias("chunk_text"), F.explode("spans").alias("s"))
-    b = line_blocks(spark, sf).select("document_id", "page_batch", "block_id", "text")
-    joined = c.withColumn("block_id", F.col("s.block_id")).join(b, ["document_id", "page_batch", "block_id"])
-    same = F.expr("substring(chunk_text, s.chunk_char_start + 1, s.chunk_char_end - s.chunk_char_start) = substring(text, s.char_start + 1, s.char_end - s.char_start)")
-    return joined.select("document_id", "chunk_id", "block_id", F.col("s.char_start").alias("char_start"), F.col("s.char_end").alias("char_end"), same.alias("equal_text"))
+    b = line_blocks(spark, sf).select("document_id", "page_batch", "block_id", F.col("text").alias("block_text"))
+    joined = chunks.span_texts(line_chunks(spark, sf)).join(b, ["document_id", "page_batch", "block_id"])
+    same = F.col("span_text") == F.expr("substring(block_text, char_start + 1, char_end - char_start)")
+    return joined.select("document_id", "chunk_id", "block_id", "char_start", "char_end", same.alias("equal_text"))
 
 
 @add("chk_08_pages_and_types", f"{CHUNKS} select document_id, page_batch::bigint as page_batch, sha256(text) as content_hash, section, page_start, page_end, n_blocks from all_chunks")

@@ -321,3 +321,14 @@ def test_runs_apart_give_the_chunks_of_all_runs(spark, sf):
     runs, fields = chunks.prose_runs(sections), ["document_id", "page_batch", "chunk_id", "overlap_characters"]
     apart = [made(runs).select(*fields).collect() for made in (chunks.fitting_run_chunks, chunks.cut_run_chunks)]
     assert all(apart) and sorted(apart[0] + apart[1]) == sorted(chunks.prose_chunks(sections).select(*fields).collect())
+
+
+def test_spans_carry_their_own_characters_only(spark, sf):
+    """A chunk's text repeated beside each of its spans grows with the square of the chunk."""
+    made = catalog_documents.line_chunks(spark, sf)
+    spans = chunks.span_texts(made)
+    assert spans.columns == ["document_id", "page_batch", "chunk_id", "block_id", "char_start", "char_end", "span_text"]
+    texts = catalog_documents.line_blocks(spark, sf).select("document_id", "page_batch", "block_id", "text")
+    joined = spans.join(texts, ["document_id", "page_batch", "block_id"])
+    wrong = joined.where(F.expr("span_text <> substring(text, char_start + 1, char_end - char_start)"))
+    assert joined.count() == made.select(F.explode("spans")).count() > 0 and wrong.count() == 0

@@ -13,7 +13,7 @@ from claimloom.plans import check_sql as sql
 from claimloom.plans.catalog import Catalog, claims_n
 from claimloom.plans.catalog_documents import (BLOCKS, LINES, WALK, line_blocks, line_chunks, page_blocks,
                                                report_blocks, report_chunks, report_claim_parts, report_claims, stored_line_chunks, stored_report_chunks, turn_blocks)
-from claimloom.session import work_dir
+from claimloom.session import materialize, work_dir
 from claimloom.sources import derived
 
 catalog = Catalog()
@@ -247,7 +247,8 @@ lasts as (select document_id, max(slot) as last_slot, bool_or(kind = 'table') as
 select s.document_id, s.slot, coalesce(t.kind, s.kind) as kind, sha256(coalesce(t.text, s.text)) as content_hash from shown s join lasts on lasts.document_id = s.document_id
 left join slots t on t.document_id = s.document_id and t.kind = 'table' and t.kind_slot = 1 and not has_table and s.slot = last_slot""")
 def example_chunks(spark, sf):
-    return chunks.example_chunks(stored_report_chunks(spark, sf)).select("document_id", "slot", "kind", "content_hash")
+    places = report_chunks(spark, sf).select("document_id", "page_batch", "seq", "kind", "content_hash")  # texts and spans stay where they lie
+    return chunks.example_chunks(materialize(places, "chunk_places")).select("document_id", "slot", "kind", "content_hash")
 
 
 # --- extraction -------------------------------------------------------------------------------------

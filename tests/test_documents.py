@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from claimloom import session
 from claimloom.operators import blocks, chunks, context, extract
 from claimloom.plans import catalog_documents
 from claimloom.sources import derived, intake, responses
@@ -332,3 +333,27 @@ def test_spans_carry_their_own_characters_only(spark, sf):
     joined = spans.join(texts, ["document_id", "page_batch", "block_id"])
     wrong = joined.where(F.expr("span_text <> substring(text, char_start + 1, char_end - char_start)"))
     assert joined.count() == made.select(F.explode("spans")).count() > 0 and wrong.count() == 0
+
+
+def test_buckets_grow_with_the_bytes_of_a_table(spark, tmp_path):
+    """Whatever its splits are: a bucket that grows with the table no longer fits the sorts of a task."""
+    for name, rows in (("small", 1_000), ("large", 2_000_000)):
+        (tmp_path / name).mkdir()
+        spark.range(rows).select(F.sha2(F.col("id").cast("string"), 256).alias("text")).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    size = sum(f.stat().st_size for f in (tmp_path / "large" / "documents.parquet").glob("*.parquet"))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1g")  # one split, as few cores or large files give
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        small, large = (derived.slices(spark, str(tmp_path / name), "documents") for name in ("small", "large"))
+        assert large * derived.SLICE_BYTES >= size > small * derived.SLICE_BYTES
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
+def test_rows_of_one_bucket_are_written_without_a_sort(spark, tmp_path):
+    spark.range(1_000).write.parquet(f"{tmp_path}/ids")
+    ids = spark.read.parquet(f"{tmp_path}/ids").repartition(4, "id")
+    stored = session.materialize_by(ids, "ids", ["id"], 4)
+    assert len(stored.inputFiles()) == 4 and stored.count() == 1_000
+    assert int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")) > 0

@@ -357,3 +357,19 @@ def test_rows_of_one_bucket_are_written_without_a_sort(spark, tmp_path):
     stored = session.materialize_by(ids, "ids", ["id"], 4)
     assert len(stored.inputFiles()) == 4 and stored.count() == 1_000
     assert int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")) > 0
+
+
+@pytest.mark.parametrize("stage", ["resolved", "table_context", "report_chunks", "line_chunks"])
+def test_a_stage_has_one_file_per_bucket(spark, sf, stage):
+    """A task that holds rows of all buckets writes a file for each of them: tasks times buckets."""
+    stored = {"report_chunks": catalog_documents.stored_report_chunks, "line_chunks": catalog_documents.stored_line_chunks}
+    read = stored.get(stage) or getattr(catalog_documents, stage)
+    before = {name: spark.conf.get(name) for name in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as many tasks as at size,
+    spark.conf.set("spark.sql.shuffle.partitions", "7")  # and no divisor of the buckets
+    try:
+        files = read(spark, f"{sf}/.").inputFiles()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(files) <= derived.slices(spark, f"{sf}/.", "documents" if stage == "line_chunks" else "lineitem")

@@ -373,3 +373,14 @@ def test_a_stage_has_one_file_per_bucket(spark, sf, stage):
         for name, value in before.items():
             spark.conf.set(name, value)
     assert len(files) <= derived.slices(spark, f"{sf}/.", "documents" if stage == "line_chunks" else "lineitem")
+
+
+@pytest.mark.parametrize("read", [extract.found_facts, extract.evidence_segments, chunks.span_texts])
+def test_filters_repeat_neither_trimming_nor_splitting(spark, read):
+    """Spark moves filters below columns and writes the columns' expressions into them: texts were trimmed anew for every block of a chunk."""
+    rows = blocks.blocks_from_items(items(spark, [(1, "text", "Some words. Sales 12."), (2, "table", "|a|b|\n|-|-|\n|c|3|")]))
+    plan = read(chunks.document_chunks(rows))._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if re.match(r"[ :+|-]*Filter ", line)]
+    assert filters and not [line for line in filters if "regexp_replace" in line or "split(" in line]
+    assert all(row.lead == len(row.raw) - len(row.raw.lstrip()) for row in session.computed(
+        spark.createDataFrame([("  a",), ("",)], "raw string"), lead=F.length("raw") - F.length(F.ltrim("raw"))).collect())

@@ -200,3 +200,22 @@ def test_micro_batches_of_several_files(spark, sf, tmp_path):
     path, files = catalog_streams.deliveries(claims, str(tmp_path), "claim_id", batches=2)
     assert files >= cores and len(list((tmp_path / "incoming").glob("*.parquet"))) == 2 * files
     assert spark.read.parquet(path).count() == claims.count()
+
+
+def test_small_tiles_are_sent_in_strips(spark):
+    """Vectors were sent once for every tile of their document: n * n / tile rows. They are sent once for every strip, and multiplied in the same tiles."""
+    rows, df = vectors(spark)
+    want = brute(rows, 3, 0.2)
+    for strip in (1, 14, 10_000):  # one tile, a few and all to a strip
+        got = similar.top_neighbours(df, k=3, threshold=0.2, tile_rows=7, strip_rows=strip)
+        assert sorted((r.claim_id, r.neighbour_id) for r in got.collect()) == want
+    many = spark.range(1_000).select(F.lit("d").alias("document_id"), F.lit("n").alias("namespace"), F.col("id").cast("string").alias("claim_id"),
+                                     F.array(F.cos("id"), F.sin("id")).cast("array<float>").alias("vector"))
+    sizes = []
+    cells = similar._cells  # gives the rows that are sent
+    try:
+        similar._cells = lambda *a: sizes.append((made := cells(*a)).count()) or made
+        similar.matches_within(many, k=3, threshold=0.2, tile_rows=10)
+    finally:
+        similar._cells = cells
+    assert sizes == [1_000]
